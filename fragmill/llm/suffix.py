@@ -95,7 +95,7 @@ class _Chunk:
             first = np.flatnonzero(np.diff(anchor, prepend=-1))
             self.lo, self.hi = self.starts[first], self.starts[np.append(first[1:], len(anchor)) - 1]
             self.anchor = anchor[first]
-            self.bucket = self.half_ids[self.anchor]
+            self.bucket = T.mix(self.half_ids[self.anchor])  # anchors are minima: spread their names over all buckets
             prefix = T.prefix_sums(T.BYTE_VALUES[self.data])
             whole = T.span_hashes(prefix, self.lo, self.hi + length)
             self.run = T.mix(whole ^ T.mix(((self.anchor - self.lo) << 32 | (self.hi - self.lo)).astype(np.uint64)) ^ T.mix(self.bucket))
