@@ -33,7 +33,7 @@ LIMIT = 2048
 END = 1
 SENTENCE_CUT, FORCED_CUT, PER_SEQUENCE = 2, 40, 4
 BLOCK_BYTES = 4 << 20
-SENTENCE_CELL = 64  # tokens; at most the last sentence end of each cell is a place to cut
+SENTENCE_CELL = 16  # tokens; at most the last sentence end of each cell is a place to cut
 KNOWN_PIECES = 2_000_000
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in RESULT.split(", ")])
