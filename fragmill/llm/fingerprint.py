@@ -30,6 +30,8 @@ ROUNDS = 16
 RANGE_BYTES = 2 << 20
 CHECK = 77
 ZERO = "named_struct('n', 0L, 'x', 0L, 'h', 0L)"
+NOTHING = "cast(array() as array<bigint>)"
+RETRIES = ((101, SUB_WIDTH), (102, 2 * SUB_WIDTH), (103, 4 * SUB_WIDTH), (104, 8 * SUB_WIDTH))
 
 
 def digests(text: str) -> str:
@@ -38,56 +40,56 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(filter(split({text}, '{cut}'), s -> length(trim(s)) > 0), s -> xxhash64(s)))"
 
 
-def _place(p: str, i: str, w: int) -> str:
+def _in_cell(p: str, i: str, w: int) -> str:
     """SQL: whether a key with position hash p goes to cell i of 3 * w."""
     return f"pmod(shiftright({p}, cast(20 * ({i} div {w}) as int)) & 1048575, {w}) = {i} % {w}"
 
 
-def cells(keys: str, w: int, salt: int, sign: int = 1, zero: str | None = None, tag: str = "") -> str:
-    """SQL: the sketch of an array of keys; zero: an array of cells to add to."""
-    k, i, a, q = (f"{x}{tag}" for x in "kiaq")
-    placed = f"transform({keys}, {k} -> named_struct('x', {k}, 'p', xxhash64({k}, {salt}), 'h', xxhash64({k}, {CHECK})))"
-    start = f"element_at({zero}, cast({i} + 1 as int))" if zero else ZERO
-    add = f"({a}, {q}) -> named_struct('n', {a}.n + {sign}L, 'x', {a}.x ^ {q}.x, 'h', {a}.h ^ {q}.h)"
-    fill = f"aggregate(filter(z{tag}, {q} -> {_place(f'{q}.p', i, w)}), {start}, {add})"
-    return f"element_at(transform(array({placed}), z{tag} -> transform(sequence(0L, {3 * w - 1}L), {i} -> {fill})), 1)"
+def placed(keys: str, salt: int, sign: int = 1) -> str:
+    """SQL: signed keys with position hash and check sum."""
+    return f"transform({keys}, k -> named_struct('n', {sign}L, 'x', k, 'p', xxhash64(k, {salt}), 'h', xxhash64(k, {CHECK})))"
 
 
-def peel(difference: str, w: int, salt: int, tag: str = "") -> str:
-    """SQL: struct(ok, found) of a difference of sketches; found: the digests that differ."""
-    s, p, c, i, a, q = (f"{x}{tag}" for x in "spciaq")
-    pure = f"array_distinct(transform(filter({s}.cells, {c} -> abs({c}.n) = 1 and xxhash64({c}.x, {CHECK}) = {c}.h), {c} -> named_struct('n', {c}.n, 'x', {c}.x, 'p', xxhash64({c}.x, {salt}))))"
-    take = f"({a}, {q}) -> named_struct('n', {a}.n - {q}.n, 'x', {a}.x ^ {q}.x, 'h', {a}.h ^ xxhash64({q}.x, {CHECK}))"
-    left = f"transform({s}.cells, ({c}, {i}) -> aggregate(filter({p}, {q} -> {_place(f'{q}.p', i, w)}), {c}, {take}))"
-    step = f"element_at(transform(array({pure}), {p} -> if(size({p}) = 0, named_struct('cells', {s}.cells, 'found', {s}.found, 'done', true), named_struct('cells', {left}, 'found', concat({s}.found, transform({p}, {q} -> {q}.x)), 'done', false))), 1)"
-    rounds = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'found', cast(array() as array<bigint>), 'done', false), ({s}, r{tag}) -> if({s}.done, {s}, {step}))"
-    return f"element_at(transform(array({rounds}), {s} -> named_struct('ok', forall({s}.cells, {c} -> {c}.n = 0 and {c}.x = 0 and {c}.h = 0), 'found', {s}.found)), 1)"
+def cells(keys: str, w: int) -> str:
+    """SQL: the sketch of placed keys."""
+    add = "(a, q) -> named_struct('n', a.n + q.n, 'x', a.x ^ q.x, 'h', a.h ^ q.h)"
+    return f"transform(sequence(0L, {3 * w - 1}L), i -> aggregate(filter({keys}, q -> {_in_cell('q.p', 'i', w)}), {ZERO}, {add}))"
 
 
-def _sub_difference(a: str, b: str) -> str:
-    """SQL: how many digests differ in one sub-sketch, retried larger."""
-    sql = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    for salt, w in reversed([(101, SUB_WIDTH), (102, 2 * SUB_WIDTH), (103, 4 * SUB_WIDTH), (104, 8 * SUB_WIDTH)]):
-        tag = f"_{salt}"
-        minus = cells(b, w, salt, -1, zero=cells(a, w, salt, 1, tag=f"a{tag}"), tag=f"b{tag}")
-        sql = f"element_at(transform(array({peel(minus, w, salt, tag)}), y{tag} -> if(y{tag}.ok, size(y{tag}.found), {sql})), 1)"
-    return sql
+def peeled(difference: str, w: int, salt: int) -> str:
+    """SQL: struct(cells, found, done) of a difference of sketches after peeling; found: recovered digests."""
+    pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and xxhash64(c.x, {CHECK}) = c.h), c -> named_struct('n', c.n, 'x', c.x, 'p', xxhash64(c.x, {salt}))))"
+    take = f"(a, q) -> named_struct('n', a.n - q.n, 'x', a.x ^ q.x, 'h', a.h ^ xxhash64(q.x, {CHECK}))"
+    left = f"transform(s.cells, (c, i) -> aggregate(filter(p, q -> {_in_cell('q.p', 'i', w)}), c, {take}))"
+    step = f"element_at(transform(array({pure}), p -> named_struct('cells', if(size(p) = 0, s.cells, {left}), 'found', concat(s.found, transform(p, q -> q.x)), 'done', size(p) = 0)), 1)"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'found', {NOTHING}, 'done', false), (s, r) -> if(s.done, s, {step}))"
 
 
-def differing(fa: str, a: str, fb: str, b: str) -> str:
-    """SQL: the number of digests in which two texts differ, from their sketches (fa, fb) and, for larger
-    sketches, their digests."""
-    base = f"zip_with({fa}, {fb}, (u, v) -> named_struct('n', u.n - v.n, 'x', u.x ^ v.x, 'h', u.h ^ v.h))"
-    side = f"cast(ceil(sqrt((size({a}) + size({b})) / {SUB_KEYS}.0)) as int)"
-    coarse = f"transform(sequence(0, {side} - 1), g -> named_struct('a', filter({a}, k -> pmod(k, {side}) = g), 'b', filter({b}, k -> pmod(k, {side}) = g)))"
-    fine = f"flatten(transform({coarse}, t -> transform(sequence(0, {side} - 1), g -> named_struct('a', filter(t.a, k -> pmod(shiftright(k, 24), {side}) = g), 'b', filter(t.b, k -> pmod(shiftright(k, 24), {side}) = g)))))"
-    larger = f"aggregate({fine}, 0, (n, e) -> n + {_sub_difference('e.a', 'e.b')})"
-    return f"element_at(transform(array({peel(base, WIDTH, 1, '_0')}), y -> if(y.ok, size(y.found), {larger})), 1)"
+def _empty(peel: str) -> str:
+    return f"forall({peel}.cells, c -> c.n = 0 and c.x = 0 and c.h = 0)"
 
 
-def likeness(fa: str, a: str, fb: str, b: str) -> str:
-    both = f"(size({a}) + size({b}))"
-    return f"if({both} = 0, 1D, 1D - ({differing(fa, a, fb, b)}) / cast({both} as double))"
+def with_likeness(df: DataFrame, fa: str, a: str, fb: str, b: str, out: str) -> DataFrame:
+    """Adds the likeness of two texts from their sketches (fa, fb) and, for larger sketches, their digests."""
+    have = df.columns
+    df = df.withColumn("peel", F.expr(peeled(f"zip_with({fa}, {fb}, (u, v) -> named_struct('n', u.n - v.n, 'x', u.x ^ v.x, 'h', u.h ^ v.h))", WIDTH, 1)))
+    df = df.withColumn("side", F.expr(f"if({_empty('peel')}, 0, cast(ceil(sqrt((size({a}) + size({b})) / {SUB_KEYS}.0)) as int))"))
+    df = df.withColumn("differ", F.expr("if(side = 0, size(peel.found), 0)"))
+    split = "transform(if(side = 0, cast(array() as array<int>), sequence(0, side - 1)), g -> named_struct('a', filter({a}, k -> pmod({k}, side) = g), 'b', filter({b}, k -> pmod({k}, side) = g)))"
+    df = df.withColumn("coarse", F.expr(split.format(a=a, b=b, k="k")))
+    fine = split.format(a="t.a", b="t.b", k="shiftright(k, 24)")
+    df = df.withColumn("open", F.expr(f"flatten(transform(coarse, t -> {fine}))"))
+    for salt, w in RETRIES:
+        both = f"concat({placed('e.a', salt)}, {placed('e.b', salt, -1)})"
+        df = df.withColumn("keyed", F.expr(f"transform(open, e -> {both})"))
+        df = df.withColumn("minus", F.expr(f"transform(keyed, z -> {cells('z', w)})"))
+        df = df.withColumn("peels", F.expr(f"transform(minus, d -> {peeled('d', w, salt)})"))
+        df = df.withColumn("whole", F.expr(f"transform(peels, x -> {_empty('x')})"))
+        df = df.withColumn("differ", F.expr("differ + aggregate(peels, 0, (n, x) -> n + if(" + _empty("x") + ", size(x.found), 0))"))
+        df = df.withColumn("open", F.expr("filter(open, (e, j) -> not element_at(whole, j + 1))"))
+    rest = "aggregate(open, 0, (n, e) -> n + size(array_except(e.a, e.b)) + size(array_except(e.b, e.a)))"
+    total = f"(size({a}) + size({b}))"
+    return df.select(*have, F.expr(f"if({total} = 0, 1D, 1D - (differ + {rest}) / cast({total} as double))").alias(out))
 
 
 def printed(sketch: str, keys: str) -> str:
@@ -139,7 +141,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     dealt = with_next(docs)
     if "next" in dealt.columns:  # an empty table
         return dealt.selectExpr("doc_id", "0L as n_chars", "'' as edited_sha256", "'' as fingerprint", "'' as edited_fingerprint", "0D as near_edited", "0D as near_next")
-    own = dealt.withColumn("keys", F.expr(digests("text"))).withColumn("sketch", F.expr(cells("keys", WIDTH, 1)))
+    own = dealt.withColumn("keys", F.expr(digests("text"))).withColumn("placed", F.expr(placed("keys", 1)))
+    own = own.withColumn("sketch", F.expr(cells("placed", WIDTH))).drop("placed")
     follow = W.partitionBy("range").orderBy("ghost", F.desc("key"), F.xxhash64("text"), "text")
     rows = own
     for c in ("text", "keys", "sketch"):
@@ -147,13 +150,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = "cast(length(text) div 2 as int)"
     rows = rows.where("not ghost").withColumn("edited", F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(next_text, 1, {half}))"))
     rows = rows.select("doc_id", F.expr("cast(length(text) as long)").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "sketch", "next_keys", "next_sketch", F.expr(digests("edited")).alias("edited_keys"))
-    rows = rows.withColumn("edited_sketch", F.expr(cells("edited_keys", WIDTH, 1)))
+    rows = rows.withColumn("placed", F.expr(placed("edited_keys", 1))).withColumn("edited_sketch", F.expr(cells("placed", WIDTH))).drop("placed")
+    rows = with_likeness(rows, "sketch", "keys", "edited_sketch", "edited_keys", "near_edited")
+    rows = with_likeness(rows, "sketch", "keys", "next_sketch", "next_keys", "near_next")
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         F.expr(printed("sketch", "keys")).alias("fingerprint"),
         F.expr(printed("edited_sketch", "edited_keys")).alias("edited_fingerprint"),
-        F.expr(likeness("sketch", "keys", "edited_sketch", "edited_keys")).alias("near_edited"),
-        F.expr(likeness("sketch", "keys", "next_sketch", "next_keys")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
