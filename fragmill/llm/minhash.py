@@ -233,11 +233,9 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     pairs = written(pairs.where(_agree("sa", "sb") >= LEAST_AGREEING).select("a", "b"))
 
-    def sets(ids: DataFrame) -> DataFrame:
-        texts = docs.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi")
-        return texts.mapInArrow(_sets(k), "rep long, keys binary")
-
-    keys = written(sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()))
+    # one shuffle of the texts serves both confirmations; the hint keeps the plan the same at every size
+    texts = docs.withColumnRenamed("doc_id", "rep").join(popular.select("rep").hint("shuffle_merge"), "rep", "left_semi")
+    keys = written(texts.mapInArrow(_sets(k), "rep long, keys binary"))
     first = pairs.join(keys.toDF("a", "keys_a"), "a").join(keys.toDF("b", "keys_b"), "b")
     first = written(first.select("a", "b", "keys_a", "keys_b").mapInArrow(_confirmed(percent), "a long, b long"))
 
@@ -260,8 +258,6 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     blocks = split[0].union(split[1]).repartition("block").sortWithinPartitions("block")
     schema = "block long, lone boolean, c int, rep long, n long, sketch binary, component long"
     opened = written(blocks.mapInArrow(_still_open(percent), schema))
-    extra = opened.select("rep").distinct()
-    keys = sets(extra)
     second = opened.join(keys, "rep").select("block", "lone", "c", "rep", "n", "sketch", "component", "keys").repartition("block").sortWithinPartitions("block")
     second = written(second.mapInArrow(_block_links(percent), "a long, b long"))
     return first.union(second)
