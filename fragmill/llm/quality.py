@@ -138,8 +138,9 @@ def _matrix(texts: DataFrame) -> np.ndarray:
 
 def learn(docs: DataFrame, positives: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
     """positives: doc_id of trusted rows."""
+    # a broadcast of about most_rows ids
     known = X.about(positives.where("doc_id is not null"), "doc_id", most_rows)
-    p, u = _matrix(docs.join(known, "doc_id", "left_semi")), _matrix(X.about(docs, "doc_id", most_rows))
+    p, u = _matrix(docs.join(F.broadcast(known), "doc_id", "left_semi")), _matrix(X.about(docs, "doc_id", most_rows))
     return fit(p, u) if len(p) > 3 and len(u) > 3 else None
 
 

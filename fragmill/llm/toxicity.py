@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from fragmill.llm import _features as X
 from fragmill.llm import _text as T
+from fragmill.llm._tables import written
 
 MOST_ROWS = 24_000
 HEADS = (4, 5, 6)
@@ -45,6 +46,7 @@ class Trees:
         share = min(max(y.mean(), 1e-4), 1 - 1e-4)
         self.first = float(np.log(share / (1 - share)))
         score, self.trees, width = np.full(len(y), self.first), [], self.bins
+        base, columns = np.arange(x.shape[1]) * width, x.shape[1] * width
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
             g, h = y - p, p * (1 - p) + 1e-9
@@ -52,16 +54,15 @@ class Trees:
             for level in range(self.depth):
                 count = 1 << level
                 best, split = np.full(count, 1e-6), np.full((count, 2), [-1, 0])
-                for j in range(x.shape[1]):
-                    at = node * width + code[:, j]
-                    gs, hs, ns = (np.bincount(at, v, count * width).reshape(count, width).cumsum(axis=1) for v in (g, h, np.ones(len(y))))
-                    gt, ht, nt = gs[:, -1:], hs[:, -1:], ns[:, -1:]
-                    gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
-                    gain[(ns < self.least) | (nt - ns < self.least)] = 0
-                    top = gain.argmax(axis=1)
-                    better = gain[np.arange(count), top] > best
-                    best[better] = gain[np.arange(count), top][better]
-                    split[better] = np.column_stack([np.full(count, j), top])[better]
+                at = ((node * columns)[:, None] + base + code).reshape(-1)
+                gs, hs, ns = (np.bincount(at, np.repeat(v, x.shape[1]), count * columns).reshape(count, x.shape[1], width).cumsum(axis=2) for v in (g, h, np.ones(len(y))))
+                gt, ht, nt = gs[:, :, -1:], hs[:, :, -1:], ns[:, :, -1:]
+                gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
+                gain[(ns < self.least) | (nt - ns < self.least)] = 0
+                gain = gain.reshape(count, -1)
+                top = gain.argmax(axis=1)
+                better = gain[np.arange(count), top] > best
+                split[better] = np.column_stack([top // width, top % width])[better]
                 feature, mark = split[node, 0], split[node, 1]
                 right = (feature >= 0) & (code[np.arange(len(y)), np.maximum(feature, 0)] > mark)
                 tree.append([(int(f), float(marks[f][b]) if 0 <= f and b < len(marks[f]) else np.inf) for f, b in split])
@@ -119,41 +120,52 @@ def features(column: pa.Array, lexicon: dict) -> np.ndarray:
     return np.column_stack([*cols, X.style(w)])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean texts each word and beginning occurs, block by block."""
-    for block in T.blocks(batches):
-        w = X.Words(block.column("text"))
-        toxic = block.column("label").to_numpy(zero_copy_only=False).astype(bool)
-        for kind, keys in [("word", w.hash), *((f"head{k}", w.heads(k)) for k in HEADS)]:
-            _, first = np.unique(T.mix(keys ^ T.mix(w.doc.astype(np.uint64))), return_index=True)
-            first = first[keys[first] != 0]
-            names, place = np.unique(keys[first], return_inverse=True)
-            bad = np.bincount(place, toxic[w.doc[first]], len(names)).astype(np.int64)
-            good = np.bincount(place, ~toxic[w.doc[first]], len(names)).astype(np.int64)
-            keep = bad > 0
-            cols = [pa.array([kind] * int(keep.sum())), pa.array(names[keep].view(np.int64)), pa.array(bad[keep]), pa.array(good[keep])]
-            yield pa.RecordBatch.from_arrays(cols, names=["kind", "key", "bad", "good"])
-            keys_left = names[~keep]
-            if len(keys_left):
-                zero = np.zeros(len(keys_left), np.int64)
-                cols = [pa.array([kind] * len(keys_left)), pa.array(keys_left.view(np.int64)), pa.array(zero), pa.array(good[~keep])]
-                yield pa.RecordBatch.from_arrays(cols, names=["kind", "key", "bad", "good"])
-
-
-def learn_lexicon(rows: DataFrame) -> dict:
-    """rows: text, label. Entries that mark toxic texts; at most MOST_ENTRIES of each kind."""
-    n = {bool(r.label): r["count"] for r in rows.groupBy("label").count().collect()}
-    bad, good = n.get(True, 0) + 1.0, n.get(False, 0) + 1.0
-    found = rows.select("text", "label").mapInArrow(_counts, "kind string, key long, bad long, good long")
-    found = found.groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(f"bad >= {LEAST_TEXTS}")
-    found = found.withColumn("odds", F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)).where(f"odds >= {LEAST_ODDS}")
-    kinds = ["word", *(f"head{k}" for k in HEADS)]
-    out = {"person": X.second_person()}
-    top = {k: found.where(F.col("kind") == k).orderBy(F.desc("odds"), "key").limit(MOST_ENTRIES).select("key", "odds").collect() for k in kinds}
-    for k in kinds:
-        names = np.array([r.key for r in top[k]], np.int64).view(np.uint64)
-        order = np.argsort(names)
-        out[k] = names[order], np.array([r.odds for r in top[k]], float)[order]
+def _counts(names: list[np.ndarray] | None):
+    """In how many texts of either half each word and beginning occurs, block by block; names: only these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in T.blocks(batches):
+            w = X.Words(block.column("text"))
+            odd = np.array(block.column("part").to_pylist()) % 2 == 1
+            for kind, keys in enumerate([w.hash, *(w.heads(k) for k in HEADS)]):
+                at = np.flatnonzero(keys != 0 if names is None else X.member(names[kind], keys) >= 0)
+                _, once = np.unique(T.mix(keys[at] ^ T.mix(w.doc[at].astype(np.uint64))), return_index=True)
+                at = at[once]
+                own, place = np.unique(keys[at], return_inverse=True)
+                counts = [np.bincount(place, odd[w.doc[at]] == o, len(own)).astype(np.int64) for o in (False, True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.view(np.int64)), *map(pa.array, counts)], names=["kind", "key", "even", "odd"])
+
+    return run
+
+
+def learn_lexicons(rows: DataFrame) -> list[dict]:
+    """rows: text, label, part. Entries that mark toxic texts, learnt from the even parts, the odd parts and all;
+    at most MOST_ENTRIES of each kind on average, the most frequent ones. Clean texts are only counted for
+    entries of toxic ones."""
+    n = {(bool(r.label), r.odd): r["count"] for r in rows.groupBy("label", (F.col("part") % 2).alias("odd")).count().collect()}
+
+    def counted(label: bool, names: list[np.ndarray] | None) -> DataFrame:
+        found = rows.where(F.col("label") == label).select("text", "part").mapInArrow(_counts(names), "kind int, key long, even long, odd long")
+        return found.groupBy("kind", "key").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
+
+    toxic = counted(True, None).where(f"even + odd >= {LEAST_TEXTS}").orderBy(F.desc(F.expr("even + odd")), "kind", "key").limit(MOST_ENTRIES * (1 + len(HEADS))).toArrow()
+    kind, key, *bads = (toxic.column(c).to_numpy() for c in toxic.column_names)
+    names = [np.sort(key[kind == k].view(np.uint64)) for k in range(1 + len(HEADS))]
+    clean = {(r.kind, r.key): (r.even, r.odd) for r in counted(False, names).collect()}
+    goods = np.array([clean.get(k, (0, 0)) for k in zip(kind.tolist(), key.tolist())]).reshape(-1, 2).T
+    counts = [*bads, *goods]
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        bad, good = (sum(counts[i + h] for h in halves) for i in (0, 2))
+        n_bad, n_good = (sum(n.get((t, h), 0) for h in halves) + 1.0 for t in (True, False))
+        odds = np.log((bad + 0.5) / n_bad) - np.log((good + 0.5) / n_good)
+        lexicon = {"person": X.second_person()}
+        for i, name in enumerate(("word", *(f"head{k}" for k in HEADS))):
+            pick = (kind == i) & (bad >= LEAST_TEXTS) & (odds >= LEAST_ODDS)
+            names = key[pick].view(np.uint64)
+            order = np.argsort(names)
+            lexicon[name] = names[order], odds[pick][order]
+        out.append(lexicon)
     return out
 
 
@@ -162,18 +174,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = X.about(known, "doc_id", most_rows)
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)).cast("int")
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", (F.col("label") > 0).alias("label"), part.alias("part"))
-    halves = [learn_lexicon(rows.where(F.col("part") % 2 != half)) for half in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about most_rows pairs of numbers
+    rows = written(rows.select("text", (F.col("label") > 0).alias("label"), part.alias("part")))
+    *halves, lexicon = learn_lexicons(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches):
             odd = np.array(block.column("part").to_pylist()) % 2 == 1
-            x = np.where(odd[:, None], features(block.column("text"), halves[1]), features(block.column("text"), halves[0]))
+            x = np.where(odd[:, None], features(block.column("text"), halves[0]), features(block.column("text"), halves[1]))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), block.column("label"), block.column("part")], names=["x", "label", "part"])
 
     got = rows.mapInArrow(run, "x array<double>, label boolean, part int").toArrow()
     y = np.array(got.column("label").to_pylist(), float)
-    model = {"lexicon": learn_lexicon(rows), "trees": None, "steps": (np.zeros(1), np.array([y.mean() if len(y) else 0.0]))}
+    model = {"lexicon": lexicon, "trees": None, "steps": (np.zeros(1), np.array([y.mean() if len(y) else 0.0]))}
     if 0 < y.sum() < len(y):
         x = np.array(got.column("x").to_pylist())
         late = np.array(got.column("part").to_pylist()) >= 2
