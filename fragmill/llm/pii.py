@@ -228,11 +228,13 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
     return base, base
 
 
-def find_pii(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and all spans; with_text also the text with spans masked."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def find_pii(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256 and all spans; with_text also the text and the text with
+    spans masked. carry: further columns of docs to hand through."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     weights = learn(docs)["weights"]
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked string" * with_text
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", text string, masked string" * with_text
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches):
@@ -247,8 +249,8 @@ def find_pii(docs: DataFrame, with_text: bool = False) -> DataFrame:
             cols = [block.column("doc_id"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(sums, pa.string()), pa.array(spans, pa.string())]
             names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
             if with_text:
-                cols, names = [*cols, pa.array(masked, pa.string())], [*names, "masked"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols, names = [*cols, block.column("text"), pa.array(masked, pa.string())], [*names, "text", "masked"]
+            yield pa.RecordBatch.from_arrays([*cols, *(block.column(c) for c in carry)], names=[*names, *carry])
 
     return docs.mapInArrow(run, schema)
 
