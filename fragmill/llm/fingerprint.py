@@ -25,42 +25,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 WIDTH = 8  # cells of each of the three tables of a fingerprint
-SUB_KEYS, SUB_WIDTH = 16, 16  # digests (of both texts) a sub-sketch is made for, and its first width
+SUB_KEYS, SUB_WIDTH = 4, 4  # digests (of both texts) a sub-sketch is made for, and its first width
 ROUNDS = 16
 RANGE_BYTES = 2 << 20
 CHECK = 77
 ZERO = "named_struct('n', 0L, 'x', 0L, 'h', 0L)"
 NOTHING = "cast(array() as array<bigint>)"
-RETRIES = ((101, SUB_WIDTH), (102, 2 * SUB_WIDTH), (103, 4 * SUB_WIDTH), (104, 8 * SUB_WIDTH))
+RETRIES = ((101, SUB_WIDTH), (102, 3 * SUB_WIDTH), (103, 8 * SUB_WIDTH), (104, 16 * SUB_WIDTH))
 
 
 def digests(text: str) -> str:
     """SQL: distinct digests of the pieces of a text."""
-    cut = r"\\n|(?<=[.,;:!?])\\s+"
+    cut = r"\\n|(?<=[.;:!?])\\s+"
     return f"array_distinct(transform(filter(split({text}, '{cut}'), s -> length(trim(s)) > 0), s -> xxhash64(s)))"
 
 
-def _in_cell(p: str, i: str, w: int) -> str:
-    """SQL: whether a key with position hash p goes to cell i of 3 * w."""
-    return f"pmod(shiftright({p}, cast(20 * ({i} div {w}) as int)) & 1048575, {w}) = {i} % {w}"
+def _places(key: str, salt: int, w: int) -> str:
+    """SQL: the three cells, of 3 * w, of a key."""
+    return f"transform(array(xxhash64({key}, {salt})), y -> array(pmod(y, {w}), {w} + pmod(shiftright(y, 20), {w}), {2 * w} + pmod(shiftright(y, 40), {w})))[0]"
 
 
-def placed(keys: str, salt: int, sign: int = 1) -> str:
-    """SQL: signed keys with position hash and check sum."""
-    return f"transform({keys}, k -> named_struct('n', {sign}L, 'x', k, 'p', xxhash64(k, {salt}), 'h', xxhash64(k, {CHECK})))"
+def placed(keys: str, w: int, salt: int, sign: int = 1) -> str:
+    """SQL: signed keys with their cells and check sum."""
+    return f"transform({keys}, k -> named_struct('n', {sign}L, 'x', k, 'p', {_places('k', salt, w)}, 'h', xxhash64(k, {CHECK})))"
 
 
 def cells(keys: str, w: int) -> str:
     """SQL: the sketch of placed keys."""
     add = "(a, q) -> named_struct('n', a.n + q.n, 'x', a.x ^ q.x, 'h', a.h ^ q.h)"
-    return f"transform(sequence(0L, {3 * w - 1}L), i -> aggregate(filter({keys}, q -> {_in_cell('q.p', 'i', w)}), {ZERO}, {add}))"
+    # named inside, so that the optimiser can't move the keys' expression into the loop over cells
+    return f"transform(array({keys}), z -> transform(sequence(0L, {3 * w - 1}L), i -> aggregate(filter(z, q -> array_contains(q.p, i)), {ZERO}, {add})))[0]"
 
 
 def peeled(difference: str, w: int, salt: int) -> str:
     """SQL: struct(cells, found, done) of a difference of sketches after peeling; found: recovered digests."""
-    pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and xxhash64(c.x, {CHECK}) = c.h), c -> named_struct('n', c.n, 'x', c.x, 'p', xxhash64(c.x, {salt}))))"
-    take = f"(a, q) -> named_struct('n', a.n - q.n, 'x', a.x ^ q.x, 'h', a.h ^ xxhash64(q.x, {CHECK}))"
-    left = f"transform(s.cells, (c, i) -> aggregate(filter(p, q -> {_in_cell('q.p', 'i', w)}), c, {take}))"
+    # a key alone in several cells is taken once; cells that don't change are kept as they are
+    pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and xxhash64(c.x, {CHECK}) = c.h), c -> named_struct('n', c.n, 'x', c.x, 'p', {_places('c.x', salt, w)}, 'h', c.h)))"
+    take = f"(a, q) -> named_struct('n', a.n - q.n, 'x', a.x ^ q.x, 'h', a.h ^ q.h)"
+    left = f"transform(s.cells, (c, i) -> aggregate(filter(p, q -> array_contains(q.p, cast(i as bigint))), c, {take}))"
     step = f"element_at(transform(array({pure}), p -> named_struct('cells', if(size(p) = 0, s.cells, {left}), 'found', concat(s.found, transform(p, q -> q.x)), 'done', size(p) = 0)), 1)"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'found', {NOTHING}, 'done', false), (s, r) -> if(s.done, s, {step}))"
 
@@ -80,13 +82,13 @@ def with_likeness(df: DataFrame, fa: str, a: str, fb: str, b: str, out: str) ->
     fine = split.format(a="t.a", b="t.b", k="shiftright(k, 24)")
     df = df.withColumn("open", F.expr(f"flatten(transform(coarse, t -> {fine}))"))
     for salt, w in RETRIES:
-        both = f"concat({placed('e.a', salt)}, {placed('e.b', salt, -1)})"
+        both = f"concat({placed('e.a', w, salt)}, {placed('e.b', w, salt, -1)})"
         df = df.withColumn("keyed", F.expr(f"transform(open, e -> {both})"))
-        df = df.withColumn("minus", F.expr(f"transform(keyed, z -> {cells('z', w)})"))
+        df = df.withColumn("minus", F.expr(f"transform(keyed, y -> {cells('y', w)})"))
         df = df.withColumn("peels", F.expr(f"transform(minus, d -> {peeled('d', w, salt)})"))
         df = df.withColumn("whole", F.expr(f"transform(peels, x -> {_empty('x')})"))
         df = df.withColumn("differ", F.expr("differ + aggregate(peels, 0, (n, x) -> n + if(" + _empty("x") + ", size(x.found), 0))"))
-        df = df.withColumn("open", F.expr("filter(open, (e, j) -> not element_at(whole, j + 1))"))
+        df = df.withColumn("open", F.expr("transform(filter(arrays_zip(open, whole), e -> not e.whole), e -> e.open)"))
     rest = "aggregate(open, 0, (n, e) -> n + size(array_except(e.a, e.b)) + size(array_except(e.b, e.a)))"
     total = f"(size({a}) + size({b}))"
     return df.select(*have, F.expr(f"if({total} = 0, 1D, 1D - (differ + {rest}) / cast({total} as double))").alias(out))
@@ -141,7 +143,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     dealt = with_next(docs)
     if "next" in dealt.columns:  # an empty table
         return dealt.selectExpr("doc_id", "0L as n_chars", "'' as edited_sha256", "'' as fingerprint", "'' as edited_fingerprint", "0D as near_edited", "0D as near_next")
-    own = dealt.withColumn("keys", F.expr(digests("text"))).withColumn("placed", F.expr(placed("keys", 1)))
+    own = dealt.withColumn("keys", F.expr(digests("text"))).withColumn("placed", F.expr(placed("keys", WIDTH, 1)))
     own = own.withColumn("sketch", F.expr(cells("placed", WIDTH))).drop("placed")
     follow = W.partitionBy("range").orderBy("ghost", F.desc("key"), F.xxhash64("text"), "text")
     rows = own
@@ -150,7 +152,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = "cast(length(text) div 2 as int)"
     rows = rows.where("not ghost").withColumn("edited", F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(next_text, 1, {half}))"))
     rows = rows.select("doc_id", F.expr("cast(length(text) as long)").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "sketch", "next_keys", "next_sketch", F.expr(digests("edited")).alias("edited_keys"))
-    rows = rows.withColumn("placed", F.expr(placed("edited_keys", 1))).withColumn("edited_sketch", F.expr(cells("placed", WIDTH))).drop("placed")
+    rows = rows.withColumn("placed", F.expr(placed("edited_keys", WIDTH, 1))).withColumn("edited_sketch", F.expr(cells("placed", WIDTH))).drop("placed")
     rows = with_likeness(rows, "sketch", "keys", "edited_sketch", "edited_keys", "near_edited")
     rows = with_likeness(rows, "sketch", "keys", "next_sketch", "next_keys", "near_next")
     return rows.select(

@@ -9,7 +9,7 @@ from fragmill.llm.fingerprint import fingerprints
 
 
 def pieces(t):
-    return {s for s in re.split(r"\n|(?<=[.,;:!?])\s+", t) if s.strip(" ")}
+    return {s for s in re.split(r"\n|(?<=[.;:!?])\s+", t) if s.strip(" ")}
 
 
 def like(a, b):
