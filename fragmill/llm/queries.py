@@ -77,4 +77,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    from fragmill.llm.sql import OP1, OP4
+
+    return {"op1_substring_dedup": OP1, "op4_near_dedup": OP4}
