@@ -15,20 +15,21 @@ from fragmill.llm.minhash import near_duplicates
 from fragmill.llm.packing import pack
 from fragmill.llm.pii import find_pii
 from fragmill.llm.queries import table
-from fragmill.llm.toxicity import score_toxicity
+from fragmill.llm.toxicity import without_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. Each row is judged by its own text."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored.where("predicted = 0").select("doc_id"))
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once."""
-    return _kept(docs, near_duplicates(docs).where("kept").select("doc_id")).dropDuplicates(["doc_id", "text"])
+    ids = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +49,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is among ids; a null id matches a null id."""
-    ids = ids.distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 STAGES = [
     ("toxicity", toxicity),
     ("near_dedup", near_dedup),
