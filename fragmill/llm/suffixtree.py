@@ -8,9 +8,12 @@ one of STRENGTHS whose left-out sum is largest. A token is scored in the longest
 probabilities of a state sum to one over the training vocabulary and one unknown token.
 
 All counts cover all training texts and stay in Spark: chunks of the corpus send their distinct n-grams and
-get the global counts of just these back (see _exchange), then send the left-out sums of their contexts and
-get the decisions back. Names of n-grams above words are cut to a width that grows with the corpus, so that
-about one in 8000 n-grams shares a name; words have 64 bits.
+get the global counts of just these back (see _exchange), words and pairs first. The tree grows only where it
+may pay: a context of one word is extended if the word occurs GROW_COUNT times and the pair LEAST_COUNT times,
+and triples are counted for such contexts alone. Then chunks send the left-out sums of their contexts, as
+half-precision numbers, and get the decisions back. Names of n-grams above words, and of contexts in the last
+step, are cut to a width that grows with the corpus, so that about one in 8000 shares a name; words are
+counted under 64 bits.
 
 Defined results: null counts as empty text, which is its end token; rows without doc_id count as id "" (held
 out); without training texts every probability is that of the unknown token; repeated rows each teach and get
@@ -31,8 +34,8 @@ from fragmill.llm import _exchange as X
 from fragmill.llm import _text as T
 
 END = np.uint64(0xE0DE0DE0DE0DE0D)
-STRENGTHS = (0.5, 4.0, 32.0)
-LEAST_GAIN, LEAST_COUNT = 3.0, 2
+STRENGTHS = (1.0, 16.0)
+LEAST_GAIN, LEAST_COUNT, GROW_COUNT = 3.0, 2, 16
 CHUNK_BYTES = 4 << 20
 PRIOR = 0.1
 WORD, PAIR, TRIPLE = 0, 1, 2
@@ -60,13 +63,22 @@ class _Chunk:
         self.doc = np.repeat(np.arange(n), words + 1)
         self.train = ~self.held[self.doc]
         place_in_doc = np.arange(len(self.tokens)) - self.off[self.doc]
-        low = np.uint64(64 - name_bits)
+        self.place, self.low = place_in_doc, np.uint64(64 - name_bits)
         t = self.tokens
         self.grams = [(np.arange(len(t)), *X.distinct(t))]
-        for order in (1, 2):
-            at = np.flatnonzero(place_in_doc >= order)
-            name = T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + (np.uint64(3) * T.mix(t[at - 2]) if order == 2 else np.uint64(1))))
-            self.grams.append((at, *X.distinct(name >> low << low)))
+        at = np.flatnonzero(place_in_doc >= 1)
+        self.grams.append((at, *X.distinct(self.short(T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(1)))))))
+
+    def short(self, names: np.ndarray) -> np.ndarray:
+        return names >> self.low << self.low
+
+    def grow(self, words: np.ndarray, pairs: np.ndarray) -> None:
+        """Adds the triples whose context may be kept, by the global counts at every token."""
+        t = self.tokens
+        at = np.flatnonzero(self.place >= 2)
+        at = at[(pairs[at - 1] >= LEAST_COUNT) & (words[at - 1] >= GROW_COUNT)]
+        name = T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(3) * T.mix(t[at - 2])))
+        self.grams.append((at, *X.distinct(self.short(name))))
 
     def counts(self, order: int) -> np.ndarray:
         """Occurrences in the chunk's training texts of each distinct n-gram."""
@@ -84,12 +96,14 @@ class _Chunk:
 class _Model:
     """Probabilities at every token of a chunk from global counts."""
 
-    def __init__(self, chunk: _Chunk, totals: list[np.ndarray], size: int, vocabulary: int):
-        self.n = [chunk.spread(o, t) for o, t in enumerate(totals)]
-        self.root = (self.n[0] + PRIOR) / (size + PRIOR * (vocabulary + 1))
+    def __init__(self, chunk: _Chunk, n: list[np.ndarray], size: int, vocabulary: int):
+        self.n = n
+        self.root = (n[0] + PRIOR) / (size + PRIOR * (vocabulary + 1))
         before = np.roll(np.arange(len(chunk.tokens)), 1)
-        place = np.arange(len(chunk.tokens)) - chunk.off[chunk.doc]
-        self.context = [None, np.where(place >= 1, self.n[0][before], 0), np.where(place >= 2, self.n[1][before], 0)]
+        pair = np.zeros(len(chunk.tokens))
+        grown = chunk.grams[2][0]
+        pair[grown] = n[1][grown - 1]
+        self.context = [None, np.where(chunk.place >= 1, n[0][before], 0), pair]
 
     def next(self, order: int, parent: np.ndarray, strength, left_out: bool = False) -> np.ndarray:
         less = 1.0 if left_out else 0.0
@@ -117,7 +131,7 @@ def _decide(table: pa.Table) -> pa.Table:
     names, _, place = X.distinct(keys)
     gains = []
     for s in range(len(STRENGTHS)):
-        gain = np.concatenate([np.frombuffer(v[s], np.float32) for v in vals]).astype(float)
+        gain = np.concatenate([np.frombuffer(v[s], np.float16) for v in vals]).astype(float)
         gains.append(np.bincount(place, gain, len(names)))
     gains = np.array(gains)
     choice = np.where(gains.max(axis=0) >= LEAST_GAIN, gains.argmax(axis=0) + 1, 0).astype(np.uint8)[place]
@@ -141,13 +155,27 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
 
     def send(table: pa.Table) -> pa.Table:
         c, chunk = load(table), table.column("chunk")[0].as_py()
-        return X.rows([r for o in (WORD, PAIR, TRIPLE) for r in X.send(chunk, c.grams[o][1], [c.counts(o)], bits, o)], X.SENT_ARROW)
+        return X.rows([r for o in (WORD, PAIR) for r in X.send(chunk, c.grams[o][1], [c.counts(o)], bits, o)], X.SENT_ARROW)
 
-    def model(c: _Chunk, replies: pa.Table) -> _Model:
-        got = [X.answers(replies, c.grams[o][1], bits, X.unpack, o) for o in (WORD, PAIR, TRIPLE)]
+    def counted_at(c: _Chunk, replies: pa.Table, order: int) -> np.ndarray:
+        got = X.answers(replies, c.grams[order][1], bits, X.unpack, order)
+        return c.spread(order, np.concatenate(got) if got else np.zeros(0, np.uint64))
+
+    def send_triples(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return X.rows([], X.SENT_ARROW)
+        c, chunk = load(table), table.column("chunk")[0].as_py()
+        c.grow(*(counted_at(c, replies, o) for o in (WORD, PAIR)))
+        return X.rows(X.send(chunk, c.grams[TRIPLE][1], [c.counts(TRIPLE)], bits, TRIPLE), X.SENT_ARROW)
+
+    def totals(replies: pa.Table) -> list[int]:
         seen = replies.filter(pa.array([b == -1 for b in replies.column("bucket").to_pylist()]))
-        size, vocabulary = map(int, seen.column("reply")[0].as_py().split(b","))
-        return _Model(c, [np.concatenate(g) if g else np.zeros(0, np.uint64) for g in got], size, vocabulary)
+        return list(map(int, seen.column("reply")[0].as_py().split(b",")))
+
+    def model(c: _Chunk, replies: pa.Table) -> _Model:
+        n = [counted_at(c, replies, o) for o in (WORD, PAIR)]
+        c.grow(*n)
+        return _Model(c, [*n, counted_at(c, replies, TRIPLE)], *totals(replies))
 
     def contexts(c: _Chunk, m: _Model, order: int):
         """Tokens whose context of this order may be kept, and the place of the context's name."""
@@ -159,12 +187,12 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
 
     def asked(c: _Chunk, m: _Model, order: int):
         at, named = contexts(c, m, order)
-        own, place = np.unique(named[at], return_inverse=True)
-        return at, c.grams[order - 1][1][own], place
+        names, place = np.unique(c.short(c.grams[order - 1][1][named[at]]), return_inverse=True)
+        return at, names, place
 
     def gains(c: _Chunk, m: _Model):
         """For both orders: sorted context names and the left-out sums for each strength."""
-        base = m.next(1, m.root, STRENGTHS[1], True)
+        base = m.next(1, m.root, STRENGTHS[0], True)
         parent = (None, m.root, np.where(m.context[1] >= LEAST_COUNT, base, m.root))
         for order in (1, 2):
             at, keys, place = asked(c, m, order)
@@ -172,7 +200,7 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
             sums = []
             for s in STRENGTHS:
                 ratio = np.log(m.next(order, parent[order], s, True)[at] / parent[order][at])
-                sums.append(np.bincount(place[use], ratio[use], len(keys)).astype(np.float32))
+                sums.append(np.clip(np.bincount(place[use], ratio[use], len(keys)), -6e4, 6e4).astype(np.float16))
             yield order, keys, sums
 
     def send_gains(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -200,7 +228,7 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
                 choice[at] = np.concatenate(got)[place]
             p = np.where(choice > 0, m.next(order, p, np.maximum(strengths[choice], 1e-9)), p)
         n = len(c.ids)
-        size, vocabulary = map(int, replies.filter(pa.array([b == -1 for b in replies.column("bucket").to_pylist()])).column("reply")[0].as_py().split(b","))
+        size, _ = totals(replies)
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
@@ -222,6 +250,8 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
     whole = sums.select(F.encode(F.concat_ws(",", F.coalesce("size", F.lit(0)), F.coalesce("vocabulary", F.lit(0))), "UTF-8"))
     chunks = spark.range(n_chunks).select(F.col("id").cast("int").alias("chunk"), F.lit(-1).alias("bucket"), whole.scalar().alias("reply"))
     first = counted.where("chunk >= 0").union(chunks)
+    triples = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_triples, X.SENT).groupBy("bucket").applyInArrow(total_step, X.REPLY)
+    first = first.union(triples)
     second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_gains, X.SENT).groupBy("bucket").applyInArrow(_decide, X.REPLY)
 
     def finish_or_none(table: pa.Table, replies: pa.Table) -> pa.Table:

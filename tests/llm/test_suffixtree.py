@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from fragmill.llm import suffixtree
-from fragmill.llm.suffixtree import LEAST_COUNT, LEAST_GAIN, STRENGTHS, held_out, score_texts
+from fragmill.llm.suffixtree import GROW_COUNT, LEAST_COUNT, LEAST_GAIN, STRENGTHS, held_out, score_texts
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -25,14 +25,14 @@ def brute(rows):
     def loo_parent(gram):
         if len(gram) == 2 or n[0][gram[1:2]] < LEAST_COUNT:
             return root(gram[-1])
-        return nxt(gram[1:], root(gram[-1]), STRENGTHS[1], 1)
+        return nxt(gram[1:], root(gram[-1]), STRENGTHS[0], 1)
 
     gains = {}
     for w in train:
         for o in (1, 2):
             for j in range(o, len(w)):
                 g = tuple(w[j - o : j + 1])
-                if n[o - 1][g[:-1]] >= LEAST_COUNT:
+                if n[o - 1][g[:-1]] >= LEAST_COUNT and (o == 1 or n[0][g[1:2]] >= GROW_COUNT):
                     p = loo_parent(g)
                     x = gains.setdefault(g[:-1], [0.0] * len(STRENGTHS))
                     for k, m in enumerate(STRENGTHS):
