@@ -31,7 +31,7 @@ RANGE_BYTES = 2 << 20
 CHECK = 77
 ZERO = "named_struct('n', 0L, 'x', 0L, 'h', 0L)"
 NOTHING = "cast(array() as array<bigint>)"
-RETRIES = ((101, SUB_WIDTH), (102, 3 * SUB_WIDTH), (103, 8 * SUB_WIDTH), (104, 16 * SUB_WIDTH))
+RETRIES = ((101, SUB_WIDTH), (102, 2 * SUB_WIDTH), (103, 5 * SUB_WIDTH), (104, 5 * SUB_WIDTH))
 
 
 def digests(text: str) -> str:
@@ -41,8 +41,13 @@ def digests(text: str) -> str:
 
 
 def _places(key: str, salt: int, w: int) -> str:
-    """SQL: the three cells, of 3 * w, of a key."""
-    return f"transform(array(xxhash64({key}, {salt})), y -> array(pmod(y, {w}), {w} + pmod(shiftright(y, 20), {w}), {2 * w} + pmod(shiftright(y, 40), {w})))[0]"
+    """SQL: the three cells, of 3 * w (at most 62), of a key as the bits of a number."""
+    bits = " | ".join(f"shiftleft(1L, cast({j * w} + pmod(shiftright(y, {20 * j}), {w}) as int))" for j in range(3))
+    return f"transform(array(xxhash64({key}, {salt})), y -> {bits})[0]"
+
+
+def _has(places: str, i: str) -> str:
+    return f"(shiftright({places}, cast({i} as int)) & 1L) = 1L"
 
 
 def placed(keys: str, w: int, salt: int, sign: int = 1) -> str:
@@ -54,7 +59,7 @@ def cells(keys: str, w: int) -> str:
     """SQL: the sketch of placed keys."""
     add = "(a, q) -> named_struct('n', a.n + q.n, 'x', a.x ^ q.x, 'h', a.h ^ q.h)"
     # named inside, so that the optimiser can't move the keys' expression into the loop over cells
-    return f"transform(array({keys}), z -> transform(sequence(0L, {3 * w - 1}L), i -> aggregate(filter(z, q -> array_contains(q.p, i)), {ZERO}, {add})))[0]"
+    return f"transform(array({keys}), z -> transform(sequence(0, {3 * w - 1}), i -> aggregate(filter(z, q -> {_has('q.p', 'i')}), {ZERO}, {add})))[0]"
 
 
 def peeled(difference: str, w: int, salt: int) -> str:
@@ -62,7 +67,7 @@ def peeled(difference: str, w: int, salt: int) -> str:
     # a key alone in several cells is taken once; cells that don't change are kept as they are
     pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and xxhash64(c.x, {CHECK}) = c.h), c -> named_struct('n', c.n, 'x', c.x, 'p', {_places('c.x', salt, w)}, 'h', c.h)))"
     take = f"(a, q) -> named_struct('n', a.n - q.n, 'x', a.x ^ q.x, 'h', a.h ^ q.h)"
-    left = f"transform(s.cells, (c, i) -> aggregate(filter(p, q -> array_contains(q.p, cast(i as bigint))), c, {take}))"
+    left = f"transform(s.cells, (c, i) -> aggregate(filter(p, q -> {_has('q.p', 'i')}), c, {take}))"
     step = f"element_at(transform(array({pure}), p -> named_struct('cells', if(size(p) = 0, s.cells, {left}), 'found', concat(s.found, transform(p, q -> q.x)), 'done', size(p) = 0)), 1)"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'found', {NOTHING}, 'done', false), (s, r) -> if(s.done, s, {step}))"
 
