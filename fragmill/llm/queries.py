@@ -50,7 +50,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragmill.llm.suffixtree import score_texts
 
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), longest=None)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-States are contexts of the last zero, one or two tokens. A context is kept if its divergence from its
-parent pays: the sum, over its occurrences in training texts, of the log-ratio of its next-symbol
+States are contexts of the last tokens, of any number up to ``longest``. A context is kept if its divergence from
+its parent pays: the sum, over its occurrences in training texts, of the log-ratio of its next-symbol
 probability to its parent's, each with the occurrence itself left out. Next-symbol distributions are
 smoothed with the parent's, p(w | c) = (n(c, w) + m * p(w | parent)) / (n(c) + m), and the strength m is the
 one of STRENGTHS whose left-out sum is largest. A token is scored in the longest kept suffix of its history;
 probabilities of a state sum to one over the training vocabulary and one unknown token.
 
 All counts cover all training texts and stay in Spark: chunks of the corpus send their distinct n-grams and
-get the global counts of just these back (see _exchange), words and pairs first. The tree grows only where it
-may pay: a context of one word is extended if the word occurs GROW_COUNT times and the pair LEAST_COUNT times,
-and triples are counted for such contexts alone. Then chunks send the left-out sums of their contexts, as
-half-precision numbers, and get the decisions back. Names of n-grams above words, and of contexts in the last
-step, are cut to a width that grows with the corpus, so that about one in 8000 shares a name; words are
-counted under 64 bits.
+get the global counts of just these back (see _exchange), words and pairs first. Contexts of one and two words
+are all put to the test if they occur LEAST_COUNT times, and triples are counted for these. Chunks send the
+left-out sums of their contexts and get the decisions back. From three words on the
+tree grows level by level: a context is tried if its parent is kept. Chunks send its next tokens with their counts
+and their left-out probability in the parent, which is the same wherever the n-gram stands, so that one round
+counts and decides a level; the levels end with the first that keeps none. Names of n-grams above words, and of
+contexts, are cut to a width that grows with the corpus, so that at most about one in 8000 shares a name (for an
+n-gram each six bytes); words are counted under 64 bits.
 
 Defined results: null counts as empty text, which is its end token; rows without doc_id count as id "" (held
 out); without training texts every probability is that of the unknown token; repeated rows each teach and get
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 
 from fragmill.llm import _exchange as X
 from fragmill.llm import _text as T
+from fragmill.llm._tables import written
 
 END = np.uint64(0xE0DE0DE0DE0DE0D)
-STRENGTHS = (1.0, 16.0)
-LEAST_GAIN, LEAST_COUNT, GROW_COUNT = 3.0, 2, 16
+STRENGTHS = (0.5, 4.0, 32.0)
+LEAST_GAIN, LEAST_COUNT = 3.0, 2
+GROW_COUNT = LEAST_COUNT  # a context's last word occurs as often as the context, so this holds none back
 CHUNK_BYTES = 4 << 20
 PRIOR = 0.1
 WORD, PAIR, TRIPLE = 0, 1, 2
@@ -72,14 +76,30 @@ class _Chunk:
     def short(self, names: np.ndarray) -> np.ndarray:
         return names >> self.low << self.low
 
-    def grow(self, words: np.ndarray, pairs: np.ndarray) -> None:
-        """Adds the triples whose context may be kept, by the global counts at every token."""
+    def grow(self, pairs: np.ndarray) -> None:
+        """Adds the triples whose context may be kept, by the global counts of pairs at every token."""
         t = self.tokens
         at = np.flatnonzero(self.place >= 2)
-        at = at[(pairs[at - 1] >= LEAST_COUNT) & (words[at - 1] >= GROW_COUNT)]
+        at = at[pairs[at - 1] >= LEAST_COUNT]
         name = T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(3) * T.mix(t[at - 2])))
         self.grams.append((at, *X.distinct(self.short(name))))
 
+    def extended(self, active: np.ndarray, order: int):
+        """Of the tokens whose context of order - 1 words is kept, those with a longer one; the distinct n-grams'
+        contexts (sorted) and names, and each token's place among them."""
+        t, k = self.tokens, np.uint64(0x9E3779B97F4A7C15)
+        at = active[self.place[active] >= order]
+        context = np.zeros(len(at), np.uint64)
+        for i in range(1, order + 1):
+            context = T.mix(t[at - i] + k * (context + np.uint64(i)))
+        grams, _, place = X.distinct(self.short(T.mix(t[at] + k * context)))
+        contexts = np.zeros(len(grams), np.uint64)
+        contexts[place] = self.short(context)
+        by = np.argsort(contexts, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        return at, contexts[by], grams[by], rank[place]
+
     def counts(self, order: int) -> np.ndarray:
         """Occurrences in the chunk's training texts of each distinct n-gram."""
         at, keys, _, place = self.grams[order]
@@ -131,7 +151,7 @@ def _decide(table: pa.Table) -> pa.Table:
     names, _, place = X.distinct(keys)
     gains = []
     for s in range(len(STRENGTHS)):
-        gain = np.concatenate([np.frombuffer(v[s], np.float16) for v in vals]).astype(float)
+        gain = np.concatenate([np.frombuffer(v[s], np.float32) for v in vals]).astype(float)
         gains.append(np.bincount(place, gain, len(names)))
     gains = np.array(gains)
     choice = np.where(gains.max(axis=0) >= LEAST_GAIN, gains.argmax(axis=0) + 1, 0).astype(np.uint8)[place]
@@ -140,15 +160,56 @@ def _decide(table: pa.Table) -> pa.Table:
     return X.rows([(c, bucket, choice[at[i] : at[i + 1]].tobytes()) for i, c in enumerate(chunk)], X.REPLY_ARROW)
 
 
-def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
+def _decide_level(table: pa.Table) -> pa.Table:
+    """Bucket step of a level: for each n-gram of a chunk its context's decision, as _decide gives it, and for kept
+    ones the counts of context and n-gram. A row (-1) says that a context is kept."""
+    chunk, contexts, lens, vals = X.gathered(table)
+    grams = np.concatenate([X.unpack(v[0], n) for v, n in zip(vals, lens)])
+    counts = np.concatenate([X.unpack(v[1], n, np.uint32) for v, n in zip(vals, lens)]).astype(np.float64)
+    parent = np.concatenate([X.unpack(v[2], n, np.uint64).view(np.float64) for v, n in zip(vals, lens)])
+    names, _, gram = X.distinct(grams)
+    _, _, context = X.distinct(contexts)
+    n, total = np.bincount(gram, counts), np.bincount(context, counts)
+    p, own = np.zeros(len(names)), np.zeros(len(names), np.int64)
+    p[gram], own[gram] = parent, context
+    gains = []
+    for s in STRENGTHS:
+        ratio = np.log((np.maximum(n - 1, 0) + s * p) / (np.maximum(total[own] - 1, 0) + s) / p)
+        gains.append(np.bincount(own, n * ratio, len(total)))
+    gains = np.array(gains)
+    kept = (gains.max(axis=0) >= LEAST_GAIN) & (total >= LEAST_COUNT)
+    choice = np.where(kept, gains.argmax(axis=0) + 1, 0).astype(np.uint8)[context]
+    n, total = n[gram].astype(np.uint64), total[context].astype(np.uint64)
+    bucket = table.column("bucket")[0].as_py()
+    at, found = np.concatenate([[0], np.cumsum(lens)]), [(-1, bucket, b"")] if kept.any() else []
+    for i, c in enumerate(chunk):
+        x = slice(at[i], at[i + 1])
+        own = choice[x] > 0
+        raw = [choice[x].tobytes(), X.pack(total[x][own]), X.pack(n[x][own])]
+        found.append((c, bucket, b"".join(len(r).to_bytes(4, "little") + r for r in raw)))
+    return X.rows(found, X.REPLY_ARROW)
+
+
+def _read_level(raw: bytes, n: int) -> np.ndarray:
+    """Rows (choice, count of the context, count of the n-gram)."""
+    choice, total, held = X.parts(raw)
+    out = np.zeros((3, n))
+    out[0] = np.frombuffer(choice, np.uint8)
+    own = out[0] > 0
+    out[1, own], out[2, own] = X.unpack(total, own.sum()), X.unpack(held, own.sum())
+    return out
+
+
+def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | None = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
+    longest: words of a context at most, two or more; None grows the tree until no context pays."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = X.measure(docs)
     dealt = X.dealt(docs, total, chunk_bytes=CHUNK_BYTES)
     n_chunks = max(1, math.ceil(total / CHUNK_BYTES))
     bits = X.bucket_bits(total // 3)
-    name_bits = min(64, max(40, -(-(math.ceil(math.log2(max(2, total // 6))) + 10) // 8) * 8))
+    name_bits = min(64, max(40, -(-(math.ceil(math.log2(max(2, total // 6))) + 13) // 8) * 8))
 
     def load(table: pa.Table) -> _Chunk:
         return _Chunk(table, name_bits, mod, rest)
@@ -165,7 +226,7 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
         if not table.num_rows:
             return X.rows([], X.SENT_ARROW)
         c, chunk = load(table), table.column("chunk")[0].as_py()
-        c.grow(*(counted_at(c, replies, o) for o in (WORD, PAIR)))
+        c.grow(counted_at(c, replies, PAIR))
         return X.rows(X.send(chunk, c.grams[TRIPLE][1], [c.counts(TRIPLE)], bits, TRIPLE), X.SENT_ARROW)
 
     def totals(replies: pa.Table) -> list[int]:
@@ -174,7 +235,7 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
 
     def model(c: _Chunk, replies: pa.Table) -> _Model:
         n = [counted_at(c, replies, o) for o in (WORD, PAIR)]
-        c.grow(*n)
+        c.grow(n[PAIR])
         return _Model(c, [*n, counted_at(c, replies, TRIPLE)], *totals(replies))
 
     def contexts(c: _Chunk, m: _Model, order: int):
@@ -200,7 +261,7 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
             sums = []
             for s in STRENGTHS:
                 ratio = np.log(m.next(order, parent[order], s, True)[at] / parent[order][at])
-                sums.append(np.clip(np.bincount(place[use], ratio[use], len(keys)), -6e4, 6e4).astype(np.float16))
+                sums.append(np.bincount(place[use], ratio[use], len(keys)).astype(np.float32))
             yield order, keys, sums
 
     def send_gains(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -216,17 +277,48 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
                 found.append((chunk, (kind << bits) + int(b), X.pack_keys(keys[lo:hi]), b"".join(len(r).to_bytes(4, "little") + r for r in raw)))
         return X.rows(found, X.SENT_ARROW)
 
-    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        c = load(table)
-        m = model(c, replies)
-        p, strengths = m.root, np.array([0.0, *STRENGTHS])
+    def walked(c: _Chunk, m: _Model, replies: pa.Table, deepest: int):
+        """Probabilities at every token by the kept contexts of up to deepest words, the same with the token left
+        out, and the tokens whose context of deepest words is kept."""
+        p, q, strengths = m.root, m.root, np.array([0.0, *STRENGTHS])
         for order in (1, 2):
             at, keys, place = asked(c, m, order)
             got = X.answers(replies, keys, bits, lambda raw, n: np.frombuffer(raw, np.uint8), 3 + order)
             choice = np.zeros(len(c.tokens), np.uint8)
             if got:
                 choice[at] = np.concatenate(got)[place]
-            p = np.where(choice > 0, m.next(order, p, np.maximum(strengths[choice], 1e-9)), p)
+            strength = np.maximum(strengths[choice], 1e-9)
+            p = np.where(choice > 0, m.next(order, p, strength), p)
+            q = np.where(choice > 0, m.next(order, q, strength, True), q)
+        active = np.flatnonzero(choice > 0)
+        for order in range(3, deepest + 1):
+            at, keys, _, place = c.extended(active, order)
+            got = X.answers(replies, keys, bits, _read_level, 3 + order)
+            own, total, held = np.concatenate(got, axis=1)[:, place] if got else np.zeros((3, 0))
+            kept = own > 0
+            active, total, held, strength = at[kept], total[kept], held[kept], strengths[own[kept].astype(int)]
+            p[active] = (held + strength * p[active]) / (total + strength)
+            q[active] = (np.maximum(held - 1, 0) + strength * q[active]) / (np.maximum(total - 1, 0) + strength)
+        return p, q, active
+
+    def send_level(order: int):
+        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return X.rows([], X.SENT_ARROW)
+            c, chunk = load(table), table.column("chunk")[0].as_py()
+            _, q, active = walked(c, model(c, replies), replies, order - 1)
+            at, keys, grams, place = c.extended(active, order)
+            parent = np.zeros(len(keys))
+            parent[place] = q[at]
+            held = np.bincount(place, c.train[at], len(keys)).astype(np.uint32)
+            return X.rows(X.send(chunk, keys, [grams, held, parent], bits, 3 + order), X.SENT_ARROW)
+
+        return run
+
+    def finish(table: pa.Table, replies: pa.Table, deepest: int) -> pa.Table:
+        c = load(table)
+        m = model(c, replies)
+        p, _, _ = walked(c, m, replies, deepest)
         n = len(c.ids)
         size, _ = totals(replies)
         return pa.table(
@@ -254,10 +346,20 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
     first = first.union(triples)
     second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_gains, X.SENT).groupBy("bucket").applyInArrow(_decide, X.REPLY)
 
+    replies, deepest = first.union(second), 2
+    if longest is None or longest > 2:
+        replies = written(replies)
+    while longest is None or deepest < longest:
+        level = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_level(deepest + 1), X.SENT)
+        level = written(level.groupBy("bucket").applyInArrow(_decide_level, X.REPLY))
+        if not level.where("chunk = -1").limit(1).count():
+            break
+        replies, deepest = replies.union(level.where("chunk >= 0")), deepest + 1
+
     def finish_or_none(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:  # a chunk number without documents
             kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
             return pa.table({n: pa.array([], kinds[t]) for n, t in (x.split() for x in RESULT.split(", "))})
-        return finish(table, replies)
+        return finish(table, replies, deepest)
 
-    return dealt.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(finish_or_none, RESULT)
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish_or_none, RESULT)
