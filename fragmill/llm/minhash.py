@@ -13,7 +13,8 @@ every link is confirmed on the full sets.
    size: first by sketch, then by sets. Only confirmed links leave a block, one for each member and
    component. Blocks make this step exact for the rest without a cap on partners.
 
-At 0.85, nine sub-keys of two minhashes a side miss a pair with probability about 2e-5.
+The number of sub-keys a side follows from the least similarity, so that a pair is missed with probability 2e-5 at
+most: nine at 0.85, twelve at 0.80.
 
 Defined results: null or empty texts have no shingles and link with nothing; a text under five words is one
 shingle; repeated rows are copies of each other; a row without doc_id is a component of its own (null);
@@ -22,7 +23,9 @@ ids that name several texts are judged text by text. An empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +35,23 @@ from pyspark.sql import functions as F
 from fragmill.llm import _text as T
 from fragmill.llm._tables import components, written
 
-SIDE, HASHES = 9, 2
-SKETCH = 2 * SIDE * HASHES
-LEAST_AGREEING = 20  # of 36; a pair at 0.85 has fewer with probability about 1e-5
+HASHES = 2
+MOST_MISSED, MOST_UNLIKE = 2e-5, 1e-5
 BLOCK = 512
 SIGNATURE = "doc_id long, n_shingles long, set_lo long, set_hi long, subkeys array<long>, sketch binary"
-_rng = np.random.default_rng(0xB0B)
-MULTIPLIERS = _rng.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache
+def drawn(percent: int) -> tuple[int, int]:
+    """Sub-keys a side that miss a pair at percent with probability MOST_MISSED at most, and the least number of
+    agreeing minhashes, which such a pair falls below with probability MOST_UNLIKE at most."""
+    p, side = percent / 100, 1
+    while 1 - (1 - (1 - p**HASHES) ** side) ** 2 > MOST_MISSED:
+        side += 1
+    n, least, below = 2 * side * HASHES, 0, 0.0
+    while least < n and (below := below + math.comb(n, least) * p**least * (1 - p) ** (n - least)) <= MOST_UNLIKE:
+        least += 1
+    return side, least
 
 
 def shingle_sets(column, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +79,13 @@ def shingle_sets(column, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def minhashes(keys: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One row of SKETCH minhashes (32 bits) for each set that isn't empty."""
+def minhashes(keys: np.ndarray, off: np.ndarray, number: int) -> np.ndarray:
+    """One row of so many minhashes (32 bits) for each set that isn't empty."""
+    multipliers = np.random.default_rng(0xB0B).integers(0, 2**63, number, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     start = off[:-1][np.diff(off) > 0]
-    out = np.empty((len(start), SKETCH), np.uint32)
+    out = np.empty((len(start), number), np.uint32)
     if len(start):
-        for i, m in enumerate(MULTIPLIERS):
+        for i, m in enumerate(multipliers):
             v = keys * m
             v ^= v >> np.uint64(29)
             v *= np.uint64(0xBF58476D1CE4E5B9)
@@ -79,7 +93,7 @@ def minhashes(keys: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(k: int):
+def _signatures(k: int, side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches):
             keys, off = shingle_sets(block.column("text"), k)
@@ -90,8 +104,8 @@ def _signatures(k: int):
                 start = off[:-1][full]
                 lo[full] = np.add.reduceat(T.mix(keys), start)
                 hi[full] = np.add.reduceat(T.mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
-            mins = minhashes(keys, off)
-            which = np.arange(2 * SIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mins = minhashes(keys, off, 2 * side * HASHES)
+            which = np.arange(2 * side, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             sub = T.mix(mins[:, 0::2].astype(np.uint64) << np.uint64(32) | mins[:, 1::2]) ^ T.mix(which)
             sketch = mins.astype(np.uint16)
             place = np.cumsum(full) - 1
@@ -134,9 +148,9 @@ def _confirmed(percent: int):
     return run
 
 
-def _agree(x: str, y: str):
+def _agree(x: str, y: str, number: int):
     """SQL: how many 16-bit places of two sketches are equal; cheap next to fetching the sets."""
-    return F.expr(f"size(filter(sequence(0, {SKETCH - 1}), i -> substring({x}, 2 * i + 1, 2) = substring({y}, 2 * i + 1, 2)))")
+    return F.expr(f"size(filter(sequence(0, {number - 1}), i -> substring({x}, 2 * i + 1, 2) = substring({y}, 2 * i + 1, 2)))")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str):
@@ -161,17 +175,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str):
 
 def _open_pairs(t: pa.Table, percent: int):
     """Of a block: left and right rows, and which pairs of them may still link (left row apart from right)."""
+    side, least = drawn(percent)
     left = np.flatnonzero(t.column("lone").to_numpy())
     right = np.flatnonzero(~t.column("lone").to_numpy())
-    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, 2 * side * HASHES)
     comp, size = t.column("component").to_numpy(), t.column("n").to_numpy()
     may = np.zeros((len(left), len(right)), bool)
     c = t.column("c")[0].as_py()
     for i, x in enumerate(left):
         same = sketch[right] == sketch[x]
-        pairs = same[:, : 2 * SIDE].reshape(len(right), SIDE, HASHES).all(axis=2)
+        pairs = same[:, : side * HASHES].reshape(len(right), side, HASHES).all(axis=2)
         fits = 100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x])
-        may[i] = (same.sum(axis=1) >= LEAST_AGREEING) & ~pairs[:, :c].any(axis=1) & fits & (comp[right] != comp[x])
+        may[i] = (same.sum(axis=1) >= least) & ~pairs[:, :c].any(axis=1) & fits & (comp[right] != comp[x])
     return left, right, may, comp
 
 
@@ -217,13 +232,14 @@ def _block_links(percent: int):
 
 def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between representatives that connect all pairs alike enough."""
+    side, least = drawn(percent)
     subkeys = reps.select("rep", F.posexplode("subkeys").alias("c", "key"))
     shared = subkeys.groupBy("c", "key").agg(F.count("*").alias("held")).where("held > 1")
     active = written(subkeys.join(shared, ["c", "key"]))
     popular = active.groupBy("rep").agg(F.sum("held").alias("pop"), F.collect_list(F.struct("c", "key")).alias("own"))
     popular = written(popular.join(reps.select("rep", "n", "sketch"), "rep"))
-    tables = popular.select("rep", "pop", F.explode(F.filter("own", lambda s: s.c < SIDE)).alias("x"), "own")
-    tables = tables.select("rep", "pop", "x", F.explode(F.filter("own", lambda s: s.c >= SIDE)).alias("y"))
+    tables = popular.select("rep", "pop", F.explode(F.filter("own", lambda s: s.c < side)).alias("x"), "own")
+    tables = tables.select("rep", "pop", "x", F.explode(F.filter("own", lambda s: s.c >= side)).alias("y"))
     tables = tables.select("rep", "pop", F.xxhash64("x.c", "x.key", "y.c", "y.key").alias("table"))
     centres = tables.groupBy("table").agg(F.count("*").alias("held"), F.max(F.struct("pop", (-F.col("rep")).alias("neg"))).alias("top"))
     centres = centres.where("held > 1").select("table", (-F.col("top.neg")).alias("centre"))
@@ -231,7 +247,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     one = popular.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = popular.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     pairs = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = written(pairs.where(_agree("sa", "sb") >= LEAST_AGREEING).select("a", "b"))
+    pairs = written(pairs.where(_agree("sa", "sb", 2 * side * HASHES) >= least).select("a", "b"))
 
     # one shuffle of the texts serves both confirmations; the hint keeps the plan the same at every size
     texts = docs.withColumnRenamed("doc_id", "rep").join(popular.select("rep").hint("shuffle_merge"), "rep", "left_semi")
@@ -241,7 +257,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
 
     # what is still apart within a group of one sub-key
     labels = components(first)
-    members = active.where(F.col("c") < SIDE).join(popular.select("rep", "pop", "n", "sketch"), "rep")
+    members = active.where(F.col("c") < side).join(popular.select("rep", "pop", "n", "sketch"), "rep")
     members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     members = written(members.select("c", "key", "rep", "pop", "n", "sketch", "component"))
     groups = members.groupBy("c", "key").agg(F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("pop", "component")).alias("top"))
@@ -266,7 +282,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked at 100 * intersection >= percent * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = written(docs.mapInArrow(_signatures(k), SIGNATURE))
+    marks = written(docs.mapInArrow(_signatures(k, drawn(percent)[0]), SIGNATURE))
     full = marks.where("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("rep"), F.min_by("subkeys", "doc_id").alias("subkeys"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n_shingles").alias("n"))
     reps = written(reps)
