@@ -84,13 +84,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 KINDS = ("email", "ip", "card", "phone", "secret", "name")
 CANDIDATES = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[A-Za-z0-9-]+)+"), "at"),
-    (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), ":"),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[A-Za-z0-9-]+)+"), ("at",)),
+    (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), (":",)),
     (2, re.compile(r"(?<![0-9])[0-9](?:[.\x20-]?[0-9]){12,18}(?![0-9])"), None),
     (3, re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"), None),
-    (4, re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|access_?key)\s?[=:]\s?['\"]?([^\s'\"]{6,})"), "="),
+    (4, re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|access_?key)\s?[=:]\s?['\"]?([^\s'\"]{6,})"), ("=", ":")),
     (4, re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,})\b"), None),
-    (5, re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme|M)\.\s([A-Z][a-z]+(?:\s[A-Z][a-z]+)?)"), "."),
+    (5, re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme|M)\.\s([A-Z][a-z]+(?:\s[A-Z][a-z]+)?)"), (".",)),
 )
 CUES = (
     re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|reach)\W*\w*\W*\Z"),
@@ -110,7 +110,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """(start, kind, end, vote pattern, features) of spans that overlap no base span."""
     out, taken = [], bytearray()
     for kind, pattern, must in CANDIDATES:
-        if must is not None and must not in text:
+        if must is not None and not any(x in text for x in must):
             continue
         for m in pattern.finditer(text):
             a, b = m.span(m.lastindex or 0)
