@@ -130,6 +130,9 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 short |= left
                 if rows:
                     yield _batch(rows)
+            n = len(t.readings[LITERAL][0])
+            if short and n:
+                yield _batch(_rows(t, ids, LITERAL, min(n, WIDTH), None)[0])
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, most_windows: int) -> DataFrame:

@@ -27,3 +27,10 @@ def test_rows_are_judged_by_their_own_text(spark):
     items = spark.createDataFrame([(1, ITEM), (2, MORE)], "item_id long, text string")
     assert sorted(r.text for r in without_leaks(docs, items).collect()) == ["a clean text", "another clean text"]
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(None, 1), (7, 2)}
+
+
+def test_few_literals_and_short_items(spark):
+    rows = [(1, "Now: " + SUM + " Think."), (2, SUM.replace("23", "24")), (3, "say Quick fox, now"), (4, "quick brown fox")]
+    items = [(1, SUM), (2, "quick fox")]
+    assert found(spark, rows, items) == {(1, 1), (2, 1), (3, 2)}  # of row 2 three of six windows
+    assert found(spark, rows, items, most_windows=0) == found(spark, rows, items)
