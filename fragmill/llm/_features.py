@@ -32,12 +32,12 @@ class Words:
             cut = PUNCT[self.data[end - 1]] & (end - 1 > self.st)
             end = end - cut
         self.end = end
-        self.prefix = T.prefix_sums(T.BYTE_VALUES_LOWER[self.data])
+        self.small = T.LOWER[self.data]
         self.hash = self.named(self.end)
         self.doc = np.repeat(np.arange(len(self.off) - 1), np.diff(self.word_off))
 
     def named(self, end: np.ndarray) -> np.ndarray:
-        return T.mix(T.span_hashes(self.prefix, self.st, end) + (end - self.st).astype(np.uint64))
+        return T.span_names(self.small, self.st, end)
 
     def heads(self, n: int) -> np.ndarray:
         """Hashes of the words' first n bytes; 0 for words that aren't longer."""

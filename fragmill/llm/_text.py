@@ -1,12 +1,15 @@
 """Vectorised text kernels shared by the operators: words, rolling hashes, slicing of Arrow batches.
 
 Texts are handled as one flat byte array with document offsets, so that all work per byte is done by
-numpy. Hashes are polynomial (Rabin-Karp) sums modulo 2**64 over random byte values; a hash of any
-span is a difference of two prefix sums.
+numpy. Words are named by a chain of non-linear steps over blocks of eight bytes (a sum of powers modulo 2**64
+would give some unlike words of regular spelling the same name); long words by BLAKE2b. Hashes of windows are
+polynomial (Rabin-Karp) sums modulo 2**64 over these names, rolled by differences of prefix sums.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,7 +19,8 @@ _rng = np.random.default_rng(0x5EED)
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTE_VALUES_LOWER = BYTE_VALUES[LOWER]
+BLOCK_BYTES = 2 << 20
+LONG_WORD = 64
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 
@@ -74,7 +78,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batches, column: str = "text", limit: int = 2 << 20):
+def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
     """Cuts Arrow batches into runs of whole rows with about ``limit`` bytes of text each.
 
     A text longer than that makes a block of its own; no text is cut."""
@@ -105,9 +109,26 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return st, en, np.searchsorted(st, off)
 
 
+def span_names(data: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
+    """64-bit names of the byte strings [st, en)."""
+    size = en - st
+    out = mix(size.astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left = st[live], size[live]
+    while len(live):
+        block = eight[at] & (~np.uint64(0) >> (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)))
+        out[live] = mix(out[live] ^ block)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(data[st[i] : en[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(data: np.ndarray, st: np.ndarray, en: np.ndarray, lower: bool = False) -> np.ndarray:
-    prefix = prefix_sums((BYTE_VALUES_LOWER if lower else BYTE_VALUES)[data])
-    return mix(span_hashes(prefix, st, en) + (en - st).astype(np.uint64))
+    return span_names(LOWER[data] if lower else data, st, en)
 
 
 def windows(hashes: np.ndarray, word_off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -62,8 +62,7 @@ class Templates:
         doc_of = np.repeat(np.arange(len(self.off) - 1), np.diff(word_off))
         doc = doc_of[solid]
         self.st, self.end = st[solid], end[solid]
-        prefix = T.prefix_sums(T.BYTE_VALUES_LOWER[self.data])
-        literal = T.mix(T.span_hashes(prefix, st, end) + (end - st).astype(np.uint64))
+        literal = T.word_hashes(self.data, st, end, lower=True)
         plain = literal[solid]
         digits = np.concatenate([[0], np.cumsum(kind == 2)])
         letters = np.concatenate([[0], np.cumsum((kind <= 1) | (kind == 5))])

@@ -96,8 +96,8 @@ class _Chunk:
             self.lo, self.hi = self.starts[first], self.starts[np.append(first[1:], len(anchor)) - 1]
             self.anchor = anchor[first]
             self.bucket = T.mix(self.half_ids[self.anchor])  # anchors are minima: spread their names over all buckets
-            prefix = T.prefix_sums(T.BYTE_VALUES[self.data])
-            whole = T.span_hashes(prefix, self.lo, self.hi + length)
+            prefix = T.prefix_sums(self.half_ids)  # a run as its suffixes at half depth, which are no sums of bytes
+            whole = T.span_hashes(prefix, self.lo, self.hi + length - half + 1)
             self.run = T.mix(whole ^ T.mix(((self.anchor - self.lo) << 32 | (self.hi - self.lo)).astype(np.uint64)) ^ T.mix(self.bucket))
         self.runs, self.run_count, self.run_place = X.distinct(self.run)
         self.buckets, _, self.bucket_place = X.distinct(self.bucket)
