@@ -33,7 +33,7 @@ LIMIT = 2048
 END = 1
 SENTENCE_CUT, FORCED_CUT, PER_SEQUENCE = 2, 40, 4
 BLOCK_BYTES = 4 << 20
-SENTENCE_CELL = 16  # tokens; at most the last sentence end of each cell is a place to cut
+FORCED_STEP = 32  # parts of a sequence; a stretch without a boundary offers a place to cut after each
 KNOWN_PIECES = 2_000_000
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in RESULT.split(", ")])
@@ -41,7 +41,8 @@ SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in RESULT.split(", ")])
 
 class Encoder:
     """Ids of a byte-level BPE. Plain Latin texts are cut into pieces by whole-array operations and each
-    distinct piece is encoded once; any other text goes through the tokenizer itself."""
+    distinct piece is encoded once; any other text, and one that spells a special token, goes through the
+    tokenizer itself."""
 
     LETTER, DIGIT, OTHER, SPACE, BREAK = 1, 2, 3, 4, 5
 
@@ -51,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.zeros(0x250, np.uint8)
         for c in range(0x250):
             cat = unicodedata.category(chr(c))[0]
@@ -60,14 +61,13 @@ class Encoder:
         self.plain = np.ones(0x250, bool)
         self.plain[:0x20] = self.plain[0x7F:0xA1] = self.plain[0x27] = False
         self.plain[[0x20, 0x0A, 0x09]] = True
-        self.values = T.mix(np.arange(0x250, dtype=np.uint64)) | np.uint64(1)
         self.pieces = self._piece_encoder(path)
         self.forget()
 
     def forget(self) -> None:
         """Empties the table of encoded pieces: names in order, and for each where its ids are."""
         self.names, self.base = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _piece_encoder(self, path: str):
         """Encodes pieces joined by NUL, which no plain text holds."""
@@ -85,13 +85,13 @@ class Encoder:
         back = {chr(v): k for k, v in names.items()}
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and token != "<|endoftext|>"}
+        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and token not in self.special}
         self.nul = ranks[b"\0"]
         return tiktoken.Encoding("pieces", pat_str="[^\x00]+|\x00", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        easy = [not len(p) or (p.max() < 0x250 and self.plain[p].all()) for p in points]
+        easy = [not len(p) or (p.max() < 0x250 and self.plain[p].all() and not any(s in t for s in self.special)) for p, t in zip(points, texts)]
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         hard = [i for i, e in enumerate(easy) if not e]
         for i, e in zip(hard, self.tokenizer.encode_batch([texts[i] for i in hard], add_special_tokens=False) if hard else []):
@@ -122,8 +122,7 @@ class Encoder:
         begin[joined] = False
         start = np.flatnonzero(begin)
         end = np.append(start[1:], n)
-        prefix = T.prefix_sums(self.values[flat])
-        name = T.mix(T.span_hashes(prefix, start, end) + (end - start).astype(np.uint64))
+        name = T.span_names(flat.astype("<u2").view(np.uint8), 2 * start, 2 * end)
         names, first, place = np.unique(name, return_index=True, return_inverse=True)
         if len(self.names) > KNOWN_PIECES:
             self.forget()
@@ -136,7 +135,7 @@ class Encoder:
         size = lens[place]
         to = np.cumsum(size)
         at = np.repeat(base[place] - (to - size), size) + np.arange(to[-1])
-        tokens = self.ids[at].astype(np.uint32)
+        tokens = self.ids[at]
         cut = np.concatenate([[0], to])[np.searchsorted(start, off)]
         return [tokens[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
@@ -153,7 +152,7 @@ class Encoder:
         order = np.argsort(names_all, kind="stable")
         self.base = np.concatenate([self.base, begin + len(self.ids)])[order]
         self.lens = np.concatenate([self.lens, stop - begin])[order]
-        self.names, self.ids = names_all[order], np.concatenate([self.ids, ids.astype(np.uint16)])
+        self.names, self.ids = names_all[order], np.concatenate([self.ids, ids.astype(np.uint32)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -219,12 +218,12 @@ def pack_block(ids: list[np.ndarray], ends: np.ndarray, limit: int = LIMIT):
     off = np.concatenate([[0], np.cumsum(lens)])
     flat = np.concatenate(ids)
     stop = np.flatnonzero(ends[np.minimum(flat, len(ends) - 1)]) + 1
-    stop = stop[np.diff(stop // SENTENCE_CELL, append=-1) != 0]
     places, kinds = np.concatenate([off, stop]), np.concatenate([np.zeros(len(off)), np.full(len(stop), SENTENCE_CUT)])
     wide = np.unique(places)
-    gaps = np.flatnonzero(np.diff(wide) > limit // 4)
-    if len(gaps):  # long stretches without a boundary
-        forced = np.concatenate([np.arange(wide[g] + limit // 8, wide[g + 1], limit // 8) for g in gaps])
+    step = max(1, limit // FORCED_STEP)
+    gaps = np.flatnonzero(np.diff(wide) > step)
+    if len(gaps):  # stretches without a boundary
+        forced = np.concatenate([np.arange(wide[g] + step, wide[g + 1], step) for g in gaps])
         places, kinds = np.concatenate([places, forced]), np.concatenate([kinds, np.full(len(forced), FORCED_CUT)])
     order = np.lexsort((kinds, places))
     places, kinds = places[order], kinds[order]

@@ -14,12 +14,10 @@ PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
-ODD = ["don't  stop\n\n now", "a  b", "  lead", "tail  ", "x\n y", "x \n", "\t\tq", "", " ", "\n", "1a2 b3!!? é ñ", "漢字 ok", "a b", "<|endoftext|> hi", "a\r\nb", "ÿŸ ſ", "½ ² ª º", "a \x0b b", "x\x00y"]
+ODD = ["don't  stop\n\n now", "a  b", "  lead", "tail  ", "x\n y", "x \n", "\t\tq", "", " ", "\n", "1a2 b3!!? é ñ", "漢字 ok", "a b", "<|endoftext|> hi", "hello <|endoftext|> world", "a<|endoftext|>",  "a\r\nb", "ÿŸ ſ", "½ ² ª º", "a \x0b b", "x\x00y"]
 
 
 def test_encoder_equals_the_tokenizer(tok):
