@@ -68,7 +68,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds, in order."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(int(x) <= 255 for x in m[0].split(".") if len(x.lstrip("0")) <= 3) and all(len(x.lstrip("0")) <= 3 for x in m[0].split(".")):
+        parts = [x.lstrip("0") for x in m[0].split(".")]  # without zeros first: int() takes no endless digits
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in parts):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -229,25 +230,26 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
 
 
 def find_pii(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and all spans; with_text also the text and the text with
+    """doc_id, counts of the base kinds, base_sha256, all spans and their number n_spans; with_text also the text and the text with
     spans masked. carry: further columns of docs to hand through."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     weights = learn(docs)["weights"]
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", text string, masked string" * with_text
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long" + ", text string, masked string" * with_text
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches):
-            counts, sums, spans, masked = [], [], [], []
+            counts, sums, spans, number, masked = [], [], [], [], []
             for text in block.column("text").to_pylist():
                 base, every = all_spans(text or "", weights)
                 counts.append([sum(k == i for _, k, _ in base) for i in range(4)])
                 sums.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest())
                 spans.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in every))
+                number.append(len(every))
                 if with_text:
                     masked.append(None if text is None else mask(text, every))
-            cols = [block.column("doc_id"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(sums, pa.string()), pa.array(spans, pa.string())]
-            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+            cols = [block.column("doc_id"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(sums, pa.string()), pa.array(spans, pa.string()), pa.array(number, pa.int64())]
+            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
             if with_text:
                 cols, names = [*cols, block.column("text"), pa.array(masked, pa.string())], [*names, "text", "masked"]
             yield pa.RecordBatch.from_arrays([*cols, *(block.column(c) for c in carry)], names=[*names, *carry])

@@ -78,3 +78,9 @@ def test_very_long_runs_stay_linear():
 def test_mask_and_empty(spark):
     assert pii.mask("a b@c.de f", [(2, 0, 8)]) == "a <EMAIL> f"
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_numbers_without_end(spark):
+    rows = [(1, "1.2.3." + "0" * 5000 + "1"), (2, "1.2.3." + "9" * 6000), (3, "0" * 9000 + ".0.0.0"), (4, "١.2.3.4")]
+    got = {r.doc_id: (r.n_ip, r.n_spans) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (0, 0), 3: (1, 1), 4: (0, 0)}
