@@ -18,6 +18,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df doesn't have in any spelling."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b); component: the least node that it reaches.
 

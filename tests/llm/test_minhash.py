@@ -4,7 +4,7 @@ import re
 import pytest
 
 from fragmill.llm import minhash
-from fragmill.llm.minhash import near_duplicates
+from fragmill.llm.minhash import near_duplicates, without_near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -70,3 +70,38 @@ def test_edge_tables(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (2, "A b  c"), (9, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 1, None, True), (4, 1, 2, False), (4, 1, 2, False), (2, 1, 2, True), (9, 0, 9, True)], key=str)
+
+
+def test_ids_that_name_several_texts(spark):
+    rnd = random.Random(9)
+    a, b = ([f"{x}{rnd.randrange(10**6)}" for _ in range(100)] for x in "ab")
+    near = lambda w: " ".join([*w[:50], "other", *w[51:]])
+    rows = [(9, " ".join(a)), (9, " ".join(b)), (3, near(a)), (4, near(b)), (9, " ".join(a)), (5, "alone"), (5, "apart")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, with_class=True).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (4, 4), (5, 5), (5, 5), (9, 3), (9, 3), (9, 4)]
+    left = without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, left.collect())) == sorted([(3, near(a)), (4, near(b)), (5, "alone"), (5, "apart")])
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9, "x"), (1, "a b c d e f", 7, 8, 9, "x"), (2, "A b c d e f", 1, 1, 1, "y"), (3, None, 0, 0, 0, "z"), (None, "a", 1, 2, 3, "n"), (None, "a", 1, 2, 3, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int, class int, copies int, Text_Hash string")
+    got = without_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.copies) for r in got.collect()) == [(0, 3), (1, 9), (3, 0)]
+
+
+def test_large_groups_meet_by_prefixes(spark, monkeypatch):
+    """Pages of common boilerplate share sub-keys without being alike; those that are alike link all the same."""
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    rnd = random.Random(12)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        own = [f"u{rnd.randrange(10**9)}" for _ in range(40)]
+        rows.append(" ".join(common + own))
+        if i % 10 == 0:
+            rows += [" ".join(common + own[:j] + ["z"] + own[j + 1 :]) for j in (5, 20)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
