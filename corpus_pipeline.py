@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fragmill.llm._tables import written
 from fragmill.llm.decontaminate import without_leaks
-from fragmill.llm.minhash import near_duplicates
+from fragmill.llm.minhash import without_near_duplicates
 from fragmill.llm.packing import pack
 from fragmill.llm.pii import find_pii
 from fragmill.llm.queries import table
@@ -28,9 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once. Near: five-word sets
     alike to 0.8 or more."""
-    ids = near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    return without_near_duplicates(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
