@@ -26,7 +26,7 @@ def canonical(texts: pd.Series) -> pd.Series:
     def one(x):
         try:
             return canonical_json(json.loads(x)).decode()
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return texts.map(one)
@@ -79,6 +79,17 @@ def group_digest(df: DataFrame, by: list[str], order: str, content: str) -> Data
     return rows.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
+def source_fingerprint_column(**fields: Column) -> Column:
+    """source_fingerprint over columns of printable ASCII without quotes or backslashes."""
+    parts = [F.concat(F.lit(f'"{k}":"'), F.coalesce(v, F.lit("")), F.lit('"')) for k, v in sorted(fields.items())]
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256), 1, 16)
+
+
+def spans_of_file(content: Column, spans: Column) -> Column:
+    """Digests of a file and of its spans (array of struct lo, hi) in one expression over one scan."""
+    return F.struct(F.sha2(content, 256).alias("sha256"), F.transform(spans, lambda s: F.sha2(F.substring(content, (s.lo + 1).cast("int"), (s.hi - s.lo).cast("int")), 256)).alias("spans"))
+
+
 def stream_digest(read, blocks: int = BLOCK) -> str:
     """Digest of a file object read in blocks."""
     h = hashlib.sha256()

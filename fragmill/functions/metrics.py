@@ -29,21 +29,59 @@ def max_abs(a: Column, b: Column) -> Column:
     return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
 
 
+def same_values(a: Column, b: Column) -> Column:
+    """Whether all values are equal, as numbers are: NaN equals nothing, -0 equals 0."""
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: (x == y) & ~F.isnan(x) & ~F.isnan(y)), lambda same: F.coalesce(same, F.lit(False)))
+
+
 def with_metrics(pairs: DataFrame, a: str, b: str) -> DataFrame:
     x, y = F.col(a), F.col(b)
-    return pairs.withColumns({"cosine": cosine(x, y), "rel_f": rel_frobenius(x, y), "max_abs": max_abs(x, y), "bitwise": x == y})
+    return pairs.withColumns({"cosine": cosine(x, y), "rel_f": rel_frobenius(x, y), "max_abs": max_abs(x, y), "bitwise": same_values(x, y)})
+
+
+MOST_HEADS = 10_000
+
+
+def against(rows: DataFrame, keys: list[str], vector: str, heads: DataFrame) -> DataFrame:
+    """Each row against each head (family, head): keys, family, cosine, rel_f. Heads are vectors of a checked number
+    (MOST_HEADS) that go to all tasks; a batch of rows is one matrix, and each norm is computed once."""
+    got = heads.select("family", "head").limit(MOST_HEADS + 1).collect()
+    if len(got) > MOST_HEADS:
+        raise ValueError(f"more than {MOST_HEADS} heads")
+    names = [r.family for r in got]
+    table = np.array([r.head for r in got], float).reshape(len(got), -1)
+    sizes = np.sqrt((table * table).sum(axis=1))
+    kind = heads.schema["family"].dataType
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            if not batch.num_rows or not names:
+                continue
+            x = np.array(batch.column(vector).to_pylist(), float)
+            own = np.sqrt((x * x).sum(axis=1))
+            for name, head, size in zip(names, table, sizes):
+                cos = (x @ head) / np.maximum(own * size, 1e-30)
+                gap = np.sqrt(((x - head) ** 2).sum(axis=1)) / max(size, 1e-30)
+                cols = [batch.column(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([name] * len(x), to_arrow_type(kind)), pa.array(cos), pa.array(gap)], names=[*keys, "family", "cosine", "rel_f"])
+
+    schema = rows.select(*keys).schema.add("family", kind).add("cosine", "double").add("rel_f", "double")
+    return rows.select(*keys, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
 
 
 def similarity(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Rollup of with_metrics: least cosine starts at 1 and the largest distances at 0."""
+    """Rollup of with_metrics (or against): least cosine starts at 1 and the largest distances at 0."""
+    more = [F.greatest(F.lit(0.0), F.max("max_abs")).alias("max_abs"), F.bool_and("bitwise").alias("bitwise")] if "bitwise" in pairs.columns else []
     return pairs.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg("cosine").alias("cos_mean"),
         F.least(F.lit(1.0), F.min("cosine")).alias("cos_min"),
         F.avg("rel_f").alias("rel_f_mean"),
         F.greatest(F.lit(0.0), F.max("rel_f")).alias("rel_f_max"),
-        F.greatest(F.lit(0.0), F.max("max_abs")).alias("max_abs"),
-        F.bool_and("bitwise").alias("bitwise"),
+        *more,
     )
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the on-disk name grammar.
-TENSOR = r"^model\.layers\.(\d+)\.mlp\.experts\.(\d+)\.(\w+)\.rank(\d+)\.(\w+)$"
-SHARED = r"^model\.layers\.(\d+)\.mlp\.experts\.shared_h\.(\w+)\.rank(\d+)\.(suh|svh)$"
+TENSOR = r"^model\.layers\.(\d+)\.mlp\.experts\.(\d+)\.(\w+_proj)\.rank(\d+)\.(\w+)\z"
+SHARED = r"^model\.layers\.(\d+)\.mlp\.experts\.shared_h\.(\w+_proj)\.rank(\d+)\.(suh|svh)\z"
 PROJECTIONS = {"gate_proj": 0, "up_proj": 1, "down_proj": 2}
 COMPONENTS = {"trellis": 0, "suh": 1, "svh": 2, "mcg": 3, "mul1": 3}
 
@@ -51,20 +52,20 @@ def tier_of_shape(shape: Column) -> Column:
 
 def lenient_int(x: Column) -> Column:
     """Integers with surrounding blanks; everything else is NULL."""
-    return F.expr("try_cast(trim(x) as bigint)") if x is None else F.trim(x.cast("string")).try_cast("bigint")
+    return F.trim(x.cast("string")).try_cast("bigint")
 
 
 def is_sha256(x: Column) -> Column:
-    return F.coalesce(x.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(x.rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
 
 
 def is_commit(x: Column) -> Column:
-    return F.coalesce(F.lower(x).rlike("^[0-9a-f]{40}$"), F.lit(False))
+    return F.coalesce(F.lower(x).rlike(r"^[0-9a-f]{40}\z"), F.lit(False))
 
 
 def is_utc(x: Column) -> Column:
     """Shape of a timestamp only; no calendar check."""
-    return F.coalesce(x.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.lit(False))
+    return F.coalesce(x.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z"), F.lit(False))
 
 
 def now_utc() -> Column:
@@ -84,10 +85,10 @@ def attestation_name(layer: Column, k: Column) -> Column:
 
 
 def human(x: Column) -> Column:
-    """Bytes in powers of 1000 with one digit."""
+    """Bytes in powers of 1024: whole bytes, else two digits; TB is the last unit."""
     out = F.format_string("%d B", x.cast("long"))
-    for power, unit in ((3, "kB"), (6, "MB"), (9, "GB"), (12, "TB")):
-        out = F.when(x >= 10**power, F.format_string(f"%.1f {unit}", x.cast("double") / 10.0**power)).otherwise(out)
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
+        out = F.when(F.abs(x) >= 1024**power, F.format_string(f"%.2f {unit}", x.cast("double") / 1024.0**power)).otherwise(out)
     return out
 
 
@@ -103,7 +104,7 @@ def int_set(text: str) -> list[int]:
 
 def int_set_column(text: Column) -> Column:
     """The same over a column."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: p != "")
     ends = F.transform(parts, lambda p: F.transform(F.split(p, "-"), lambda x: F.trim(x).cast("int")))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(ends, lambda e: F.sequence(F.element_at(e, 1), F.element_at(e, -1))))))
 
@@ -128,9 +129,19 @@ def family_spec(text: str) -> dict:
 
 
 def locator(repo: str, revision: str, subdir: str = "") -> str:
-    """An injective file name of a pinned source."""
-    revision = revision.lower() if len(revision) == 40 else revision
-    return "@".join(quote(x, safe="") for x in (repo, revision, subdir) if x)
+    """An injective file name of a pinned source; refuses revisions that aren't full commits."""
+    if not re.fullmatch("[0-9a-fA-F]{40}", revision):
+        raise ValueError(f"{revision!r} is no commit")
+    return f"{quote(repo, safe='')}@{revision.lower()}:{quote(subdir, safe='')}"
+
+
+def locator_column(repo: Column, revision: Column, subdir: Column) -> Column:
+    """The same over columns, NULL where the revision is no commit."""
+
+    def quoted(x: Column) -> Column:  # url_encode writes a blank as +, keeps * and writes ~ as %7E
+        return F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+    return F.when(is_commit(revision), F.concat(quoted(repo), F.lit("@"), F.lower(revision), F.lit(":"), quoted(F.coalesce(subdir, F.lit("")))))
 
 
 def required_components(schema: Column, core: list[str], codebook: Column) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+MOST_SORTED, PARTS = 100_000, 256
+
+
 def dense_violations(eps: DataFrame, experts: int) -> DataFrame:
     """(k, layer) whose experts aren't exactly 0 .. experts - 1, or whose cells lack a value."""
     g = eps.groupBy("k", "layer").agg(F.count("*").alias("cells"), F.countDistinct("expert").alias("ids"), F.min("expert").alias("lo"), F.max("expert").alias("hi"), F.count_if(F.col("eps").isNull() | F.col("phi").isNull()).alias("nulls"))
@@ -71,8 +74,22 @@ def budget_of(fraction: float, cells: int) -> int:
 
 
 def budget_solve(cells: DataFrame, budget: int) -> DataFrame:
-    """Cells that a global budget upgrades: the largest benefits, ties by (layer, expert)."""
-    return cells.orderBy(F.desc("benefit"), "layer", "expert").limit(budget)
+    """Cells that a global budget upgrades: the largest benefits, ties by (layer, expert). A budget up to MOST_SORTED
+    is a top-k; beyond, cells are counted between PARTS quantiles of the benefit, whole ranges are taken by a filter,
+    and only the range that the budget cuts is ranked."""
+    order = [F.desc("benefit"), F.col("layer"), F.col("expert")]
+    if budget <= MOST_SORTED:
+        return cells.orderBy(*order).limit(max(budget, 0))
+    marks = cells.agg(F.percentile_approx("benefit", [i / PARTS for i in range(1, PARTS)], 100 * PARTS)).first()[0] or []
+    marks = sorted(set(marks))
+    above = F.size(F.filter(F.array(*map(F.lit, marks)), lambda x: x > F.col("benefit"))) if marks else F.lit(0)
+    ranged = cells.withColumn("_range", F.when(F.col("benefit").isNull(), len(marks) + 1).otherwise(above))
+    held = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # PARTS + 1 rows at most
+    taken, cut = 0, 0
+    while cut <= len(marks) + 1 and taken + held.get(cut, 0) <= budget:
+        taken, cut = taken + held.get(cut, 0), cut + 1
+    edge = ranged.where(F.col("_range") == cut).withColumn("_rank", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    return ranged.where(F.col("_range") < cut).drop("_range").union(edge.where(F.col("_rank") <= budget - taken).drop("_range", "_rank"))
 
 
 def upgrades_per_layer(cells: DataFrame, budget: int) -> DataFrame:
@@ -88,7 +105,7 @@ def uniform_take(layer_place: Column, budget: int, layers: int, experts: int) ->
 def uniform_baseline(cells: DataFrame, budget: int, layers: int, experts: int) -> DataFrame:
     """Per layer what the same budget captures when it is spread evenly."""
     place = cells.select("layer").distinct().withColumn("place", F.row_number().over(W.orderBy("layer")) - 1)  # a row per layer
-    ranked = cells.join(F.broadcast(place), "layer").withColumn("rank", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("benefit"), "expert")))
+    ranked = cells.join(place, "layer").withColumn("rank", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("benefit"), "expert")))
     taken = F.col("rank") <= uniform_take(F.col("place"), budget, layers, experts)
     return ranked.groupBy("layer").agg(F.count_if(taken).alias("n_upper"), F.sum(F.when(taken, F.col("benefit")).otherwise(0.0)).alias("captured"))
 
@@ -108,6 +125,34 @@ def error_ladder(means: DataFrame) -> DataFrame:
     return means.select("k", "mean_eps", (F.col("mean_eps") / following).alias("ratio"), F.sqrt(F.col("mean_eps") * following).alias("midpoint"))
 
 
+def analysis(eps: DataFrame, pairs: list[tuple[int, int]], fractions: list[float], layers: int, experts: int) -> DataFrame:
+    """All figures of an error table as rows (part, layer, name, value): mean error of each tier, for each pair of
+    tiers the variation, concentration and verdict, and for each budget what the solution captures beside the even
+    baseline (advantage in percent). The parts are the operators of this module."""
+    none = F.lit(None).cast("long")
+
+    def rows(df: DataFrame, part: str, layer: Column, **values: Column) -> DataFrame:
+        pair = [F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in values.items()]
+        return df.select(F.lit(part).alias("part"), layer.cast("long").alias("layer"), F.explode(F.array(*pair)).alias("x")).select("part", "layer", "x.name", "x.value")
+
+    out = mean_error(eps).select(F.lit("means").alias("part"), none.alias("layer"), F.concat(F.lit("k"), F.col("k").cast("string")).alias("name"), F.col("mean_eps").alias("value"))
+    for lo, hi in pairs:
+        cells = benefit(eps, lo, hi)
+        part = f"k{lo} to k{hi}"
+        both = variation(cells).join(gini(cells), "layer").join(top_share(cells), "layer")
+        out = out.union(rows(both, part, F.col("layer"), delta_cv=F.col("delta_cv"), gini=F.col("gini"), top_share=F.col("top_share")))
+        out = out.union(rows(abort_verdict(cells), part, none, median_cv=F.col("median_cv"), median_gini=F.col("median_gini"), fires=F.col("fires").cast("int")))
+    cells = benefit(eps, *pairs[0])
+    for f in fractions:
+        b = budget_of(f, layers * experts)
+        solved = upgrades_per_layer(cells, b).agg(F.sum("captured").alias("captured"), F.min("n_upper").alias("least"), F.max("n_upper").alias("most"))
+        even = uniform_baseline(cells, b, layers, experts).agg(F.sum("captured").alias("even"))
+        gain = 100 * (F.col("captured") / F.greatest(F.col("even"), F.lit(1e-18)) - 1)
+        one = solved.select("*", even.scalar().alias("even"))
+        out = out.union(rows(one, f"budget {f}", none, captured=F.col("captured"), even=F.col("even"), advantage=gain, least=F.col("least"), most=F.col("most")))
+    return out
+
+
 def allocation(cells: DataFrame, fraction: float, layers: int, experts: int) -> DataFrame:
     """Per layer the upgraded experts of the global solution beside the uniform line."""
     b = budget_of(fraction, layers * experts)

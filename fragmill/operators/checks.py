@@ -133,7 +133,7 @@ def identity_violations(payload: DataFrame) -> DataFrame:
         (F.col("size") > 0, "size"),
         (F.col("num_experts") > 0, "experts"),
         (F.forall(F.map_values("expert_sha256"), is_sha256), "expert digest"),
-        (F.forall(F.map_keys("expert_sha256"), lambda x: x.rlike("^(0|[1-9][0-9]*)$")), "expert id"),
+        (F.forall(F.map_keys("expert_sha256"), lambda x: x.rlike(r"^(0|[1-9][0-9]*)\z")), "expert id"),
         (is_utc(F.col("created_utc")), "time"),
         (F.size(F.map_keys("materials")) > 0, "materials"),
     )
@@ -168,7 +168,9 @@ def digest_verdicts(rows: DataFrame, want: str = "want", got: str = "got") -> Da
 
 
 def verdict_summary(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("checked"), F.count_if(F.col("verdict") == "ok").alias("matched"), F.count_if(F.col("verdict") != "ok").alias("failures"))
+    """Rows checked, matched and failed; bytes of the matching ones where rows have a size."""
+    size = [F.coalesce(F.sum(F.when(F.col("verdict") == "ok", F.col("size"))), F.lit(0)).alias("bytes")] if "size" in rows.columns else []
+    return rows.agg(F.count("*").alias("checked"), F.count_if(F.col("verdict") == "ok").alias("matched"), F.count_if(F.col("verdict") != "ok").alias("failures"), *size)
 
 
 def merge_attestations(digests: DataFrame) -> DataFrame:
@@ -188,7 +190,7 @@ def partition_violations(parts: DataFrame, whole: DataFrame, by: list[str], item
 
 def trust_root_violations(keys: DataFrame, key_files: DataFrame) -> DataFrame:
     """Lines of a trust root that break its format, repeat a key or id, or don't pair with a key file."""
-    shape = keys.select("fingerprint", "key_id", F.when(~F.coalesce(F.col("fingerprint").rlike("^[0-9a-f]{64}$"), F.lit(False)), "fingerprint").when(~F.coalesce(F.col("status").isin("active", "retired", "revoked"), F.lit(False)), "status").when(~F.coalesce(F.col("added").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)), "added").alias("rule")).where("rule is not null")
+    shape = keys.select("fingerprint", "key_id", F.when(~F.coalesce(F.col("fingerprint").rlike(r"^[0-9a-f]{64}\z"), F.lit(False)), "fingerprint").when(~F.coalesce(F.col("status").isin("active", "retired", "revoked"), F.lit(False)), "status").when(~F.coalesce(F.col("added").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.lit(False)), "added").alias("rule")).where("rule is not null")
     none = F.lit(None).cast("string")
     twice = unique_violations(keys, ["fingerprint"]).select("fingerprint", none.alias("key_id"), F.lit("repeated fingerprint").alias("rule"))
     ids = unique_violations(keys, ["key_id"]).select(none.alias("fingerprint"), "key_id", F.lit("repeated id").alias("rule"))

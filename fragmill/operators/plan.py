@@ -1,11 +1,12 @@
 """Fetch planning: provider choice, completeness, request coalescing, cost.
 
-Coalescing folds the pieces of one (source, file) in offset order, in one row: an expert's pieces of a file
-are few (hundreds), files are many.
+Coalescing with a size cap walks the pieces of one (source, file) in offset order; files are many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -66,15 +67,38 @@ def coalesce_by_gap(pieces: DataFrame, by: list[str], gap: int) -> DataFrame:
 
 def coalesce_capped(pieces: DataFrame, by: list[str], gap: int, cap: int) -> DataFrame:
     """Greedy requests: a piece joins the open request if the gap is in [0, gap] and the request stays
-    within cap."""
-    rows = pieces.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")))).alias("p"))
-    merge = f"""
-        aggregate(p, cast(array() as array<struct<start:bigint,stop:bigint,n:bigint,useful:bigint>>), (acc, x) ->
-          if(size(acc) > 0 and x.lo - acc[size(acc) - 1].stop between 0 and {gap} and x.hi - acc[size(acc) - 1].start <= {cap},
-             concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start, 'stop', x.hi, 'n', acc[size(acc) - 1].n + 1L, 'useful', acc[size(acc) - 1].useful + x.hi - x.lo))),
-             concat(acc, array(named_struct('start', x.lo, 'stop', x.hi, 'n', 1L, 'useful', x.hi - x.lo)))))"""
-    out = rows.select(*by, F.explode(F.expr(merge)).alias("r"))
-    return out.select(*by, "r.start", "r.stop", F.col("r.n").alias("n_pieces"), "r.useful", (F.col("r.stop") - F.col("r.start") - F.col("r.useful")).alias("wasted"))
+    within cap. The pieces of one file are a chain, so one task walks them, in offset order, as a stream of sorted
+    batches with one open request in memory."""
+    keys = pieces.select(*by).schema
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = [*by, "start", "stop", "n_pieces", "useful", "wasted"]
+        request = None
+
+        def closed(r):
+            return (*r[0], r[1], r[2], r[3], r[4], r[2] - r[1] - r[4])
+
+        for batch in batches:
+            done = []
+            for *key, lo, hi in zip(*(batch.column(c).to_pylist() for c in by), batch.column("lo").to_pylist(), batch.column("hi").to_pylist()):
+                if request is not None and request[0] == key and 0 <= lo - request[2] <= gap and hi - request[1] <= cap:
+                    request[2], request[3], request[4] = hi, request[3] + 1, request[4] + hi - lo
+                else:
+                    if request is not None:
+                        done.append(closed(request))
+                    request = [key, lo, hi, 1, hi - lo]
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in done])
+        if request is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, closed(request)))])
+
+    rows = pieces.select(*by, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    out = keys
+    for c in ("start", "stop", "n_pieces", "useful", "wasted"):
+        out = out.add(c, "long")
+    return rows.repartition(*by).sortWithinPartitions(*by, "lo", "hi").mapInArrow(run, out)
 
 
 def coalesce_adjacent(pieces: DataFrame, by: list[str], cap: int) -> DataFrame:

@@ -5,9 +5,13 @@ A NULL digest never equals anything, another NULL included.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fragmill.functions.crypto import check_envelope, sign_envelope
+
 MOST_BLOB = 16 << 20
 
 
@@ -93,3 +97,31 @@ def publish(read_head, build, commit, tries: int = 5):
         if commit(head, payload):
             return payload
     raise RuntimeError(f"the head moved {tries} times")
+
+
+def build_payload(files: DataFrame, schema: str, name: str, created: Column, repo: str | None = None, revision: str | None = None, manifest: str = "manifest.json") -> DataFrame:
+    """One row, payload: the list of all files with their digests and sizes, its counts, and the manifest's digest
+    (NULL without one), as a struct to be signed. files: path, sha256, size."""
+    listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", F.struct("sha256", "size").alias("f")))))
+    one = files.agg(listed.alias("files"), F.max(F.when(F.col("path") == manifest, F.col("sha256"))).alias("manifest_sha256"))
+    n = counts(files).select(F.struct("files", "fragments", "bytes").alias("n"))
+    fields = {"schema": F.lit(schema), "release": F.lit(name), "created_utc": created, "counts": n.scalar(), "files": F.col("files"), "manifest_sha256": F.col("manifest_sha256"), "repo": F.lit(repo), "revision": F.lit(revision)}
+    return one.select(F.struct(*(v.alias(k) for k, v in fields.items())).alias("payload"))
+
+
+def sign_payload(payload: DataFrame, seed: bytes) -> dict:
+    """The envelope of a one-row payload; fields without a value are left out. A list of files is one document by
+    nature, so it is signed on the driver, where the seed stays."""
+    text = payload.select(F.to_json("payload")).first()[0]
+    return sign_envelope(seed, json.loads(text))
+
+
+def verify_release(line: str, trusted: str, schema: str) -> dict:
+    """The payload of a release envelope under a trusted key; refuses another schema and an empty list."""
+    ok, reason, text = check_envelope(line, trusted)
+    if not ok:
+        raise PermissionError(f"release: {reason}")
+    payload = json.loads(text)
+    if payload.get("schema") != schema or not isinstance(payload.get("files"), dict) or not payload["files"]:
+        raise PermissionError("release: another schema, or no files")
+    return payload

@@ -14,13 +14,17 @@ RUNGS = ("pinned", "root", "declared", "none")
 
 def resolve(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """requests(request, signer): a full key, a prefix of at least LEAST_PREFIX digits, or a key id. Adds the
-    key, its status and a decision: trusted, warned (retired), revoked, ambiguous, short or unknown.
-    keys is a trust root: a few lines, broadcast."""
-    k = F.broadcast(keys.select("fingerprint", "key_id", "status"))
+    key, its status and a decision: trusted, warned (retired), revoked, ambiguous, short or unknown. Ids and the
+    first LEAST_PREFIX digits of keys are joined by equality, so that keys need not be few."""
+    k = keys.select("fingerprint", "key_id", "status")
     s = F.lower("signer")
-    hex_like = s.rlike("^[0-9a-f]+$")
-    hit = (F.col("key_id") == F.col("signer")) | (hex_like & (F.length("signer") >= LEAST_PREFIX) & F.col("fingerprint").startswith(s))
-    found = requests.join(k, hit, "left").groupBy("request", "signer").agg(F.count("fingerprint").alias("hits"), F.min("fingerprint").alias("fingerprint"), F.min("status").alias("status"))
+    hex_like = s.rlike(r"^[0-9a-f]+\z")
+    asked = requests.select("request", "signer")
+    by_id = asked.join(k, F.col("key_id") == F.col("signer"))
+    head = F.when(hex_like & (F.length("signer") >= LEAST_PREFIX), F.substring(s, 1, LEAST_PREFIX))
+    by_prefix = asked.withColumn("head", head).join(k, (F.substring("fingerprint", 1, LEAST_PREFIX) == F.col("head")) & F.col("fingerprint").startswith(s)).drop("head")
+    hits = by_id.union(by_prefix).distinct().groupBy("request", "signer").agg(F.count("fingerprint").alias("hits"), F.min("fingerprint").alias("fingerprint"), F.min("status").alias("status"))
+    found = asked.distinct().join(hits, ["request", "signer"], "left").fillna(0, ["hits"])
     short = hex_like & (F.length("signer") < LEAST_PREFIX)
     decision = (
         F.when((F.col("hits") == 0) & F.coalesce(short, F.lit(False)), "short")
@@ -44,7 +48,7 @@ def rung(pinned: str | None, root: str | None, declared: str | None) -> tuple[st
 
 def verify_lines(lines: DataFrame, trusted: DataFrame) -> DataFrame:
     """lines(family, file, line_no, line), trusted(family, key): ok, reason and payload of every line."""
-    rows = lines.join(F.broadcast(trusted), "family", "left")
+    rows = lines.join(trusted, "family", "left")
     return rows.withColumn("v", envelope_verdict("line", "key")).select("family", "file", "line_no", "v.ok", "v.reason", "v.payload")
 
 

@@ -53,7 +53,7 @@ def quota_sample(rows: DataFrame, by: str, total: int, seed: int, key: str) -> D
     groups = rows.select(by).distinct().withColumn("place", F.row_number().over(W.orderBy(by)) - 1).withColumn("groups", F.count("*").over(W.partitionBy()))
     quota = F.floor(F.lit(total) / F.col("groups")) + F.when(F.col("place") < F.lit(total) % F.col("groups"), 1).otherwise(0)
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
-    ranked = rows.join(F.broadcast(groups), by).withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(order, key)))
+    ranked = rows.join(groups, by).withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(order, key)))
     return ranked.where(F.col("rank") <= quota).drop("rank", "place", "groups")
 
 

@@ -104,14 +104,10 @@ def q05(spark, sf):
     return A.gini(gains(spark, sf)).select("layer", r6("gini").alias("gini"))
 
 
-@query("q06_top16_share", f"WITH {BENEFIT}, r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY benefit DESC, expert) AS n FROM b) SELECT layer, round(sum(CASE WHEN n <= 16 THEN benefit ELSE 0 END), 6) AS top_sum, round(sum(benefit), 6) AS total FROM r GROUP BY 1")
+@query("q06_top16_share", f"WITH {BENEFIT}, r AS (SELECT layer, abs(benefit) AS benefit, row_number() OVER (PARTITION BY layer ORDER BY abs(benefit) DESC, expert) AS n FROM b) SELECT layer, round(sum(CASE WHEN n <= 16 THEN benefit ELSE 0 END) / greatest(sum(benefit), 1e-18), 6) AS top_share FROM r GROUP BY 1")
 def q06(spark, sf):
-    return _top_sum(gains(spark, sf))
-
-
-def _top_sum(g: DataFrame) -> DataFrame:
-    ranked = g.withColumn("n", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("benefit"), "expert")))
-    return ranked.groupBy("layer").agg(r6(F.sum(F.when(F.col("n") <= 16, F.col("benefit")).otherwise(0.0))).alias("top_sum"), r6(F.sum("benefit")).alias("total"))
+    g = gains(spark, sf).withColumn("benefit", F.abs("benefit"))
+    return A.top_share(g).withColumn("top_share", r6("top_share"))
 
 
 @query(
@@ -407,27 +403,27 @@ PAIRS = """v AS (SELECT vec_id, label, embedding FROM embeddings), fm AS (SELECT
 
 
 def families(spark, sf):
+    """Each vector against the first vector of each label."""
     e = table(spark, sf, "embeddings")
-    # one vector per label: a handful of rows
     heads = e.groupBy(F.col("label").alias("family")).agg(F.min_by("embedding", "vec_id").alias("head"))
-    return e.join(F.broadcast(heads), F.lit(True)).select("vec_id", "label", "family", "embedding", "head")
+    return M.against(e, ["vec_id", "label"], "embedding", heads)
 
 
 @query("q39_pair_similarity", f"WITH {PAIRS} SELECT label, family, count(*) AS n, round(avg(ab / greatest(sqrt(aa) * sqrt(bb), 1e-30)), 6) AS cos_mean, round(least(1.0, min(ab / greatest(sqrt(aa) * sqrt(bb), 1e-30))), 6) AS cos_min FROM pr WHERE label < family GROUP BY 1, 2")
 def q39(spark, sf):
-    pairs = M.with_metrics(families(spark, sf).where("label < family"), "embedding", "head")
+    pairs = families(spark, sf).where("label < family")
     return M.similarity(pairs, ["label", "family"]).select("label", "family", "n", r6("cos_mean").alias("cos_mean"), r6("cos_min").alias("cos_min"))
 
 
 @query("q40_rel_frobenius", f"WITH {PAIRS} SELECT label, family, round(avg(sqrt(greatest(aa + bb - 2 * ab, 0.0)) / greatest(sqrt(bb), 1e-30)), 5) AS rel_f_mean FROM pr WHERE label <> family GROUP BY 1, 2")
 def q40(spark, sf):
-    pairs = M.with_metrics(families(spark, sf).where("label <> family"), "embedding", "head")
+    pairs = families(spark, sf).where("label <> family")
     return M.similarity(pairs, ["label", "family"]).select("label", "family", F.round("rel_f_mean", 5).alias("rel_f_mean"))
 
 
 @query("q41_nearest_family", f"WITH {PAIRS}, r AS (SELECT vec_id, family, row_number() OVER (PARTITION BY vec_id ORDER BY round(ab / greatest(sqrt(aa) * sqrt(bb), 1e-30), 9) DESC, family) AS n FROM pr) SELECT vec_id, family FROM r WHERE n = 1")
 def q41(spark, sf):
-    f = families(spark, sf).withColumn("c", F.round(M.cosine(F.col("embedding"), F.col("head")), 9))
+    f = families(spark, sf).withColumn("c", F.round("cosine", 9))
     return P.choose(f, ["vec_id"], [F.desc("c"), "family"]).select("vec_id", "family")
 
 
@@ -498,3 +494,6 @@ def q49(spark, sf):
 @query("q50_transport_totals", f"WITH {PLAN}, m AS (SELECT source, lo, hi, CASE WHEN lo - lag(hi) OVER (PARTITION BY source ORDER BY lo, hi) BETWEEN 0 AND 3000 THEN 0 ELSE 1 END AS brk FROM pl), i AS (SELECT *, sum(brk) OVER (PARTITION BY source ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m), q AS (SELECT source, min(lo) AS start, max(hi) AS stop, sum(hi - lo) AS useful FROM i GROUP BY source, island) SELECT source, count(*) AS requests, CAST(sum(stop - start) AS BIGINT) AS bytes, CAST(sum(stop - start - useful) AS BIGINT) AS wasted FROM q GROUP BY 1")
 def q50(spark, sf):
     return P.transport_totals(P.coalesce_by_gap(pieces(spark, sf), ["source"], 3000))
+
+
+from fragmill.plans import catalog_checks, catalog_fetch  # noqa: E402,F401  (register their queries)

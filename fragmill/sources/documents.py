@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fragmill.functions.names import is_sha256
+
 INDEX = "map<string,struct<file:string,sha256:string,size:bigint,body_offset:bigint,experts:map<string,array<bigint>>>>"
 POLICY = "schema string, bits_per_expert map<string,array<int>>"
 ENVELOPE = "payload string, signature string, keyid string"
@@ -77,10 +79,49 @@ def sums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trust_root(spark: SparkSession, path: str) -> DataFrame:
-    """fingerprint, key_id, status, added, role of lines with five fields; # begins a comment."""
+    """fingerprint, key_id, status, added, role of lines that begin with a fingerprint and have three fields or
+    more, later ones empty where they are absent; # begins a comment; other lines don't count here."""
+    return trust_lines(spark.read.text(path))
+
+
+def trust_lines(lines: DataFrame) -> DataFrame:
     parts = F.split(F.trim(F.regexp_replace("value", "#.*$", "")), r"\s+")
-    rows = spark.read.text(path).where(F.size(parts) == 5)
-    return rows.select(*(parts[i].alias(n) for i, n in enumerate(("fingerprint", "key_id", "status", "added", "role"))))
+    rows = lines.where((F.size(parts) >= 3) & is_sha256(parts[0]))
+    return rows.select(*(F.coalesce(F.get(parts, i), F.lit("")).alias(n) for i, n in enumerate(("fingerprint", "key_id", "status", "added", "role"))))
+
+
+BINDING = "fetch_binding struct<schema:string,providers:struct<schema:string>,content:struct<manifests:map<string,string>,experts:map<string,map<string,string>>>>"
+
+
+def fetch_binding(spark: SparkSession, path: str, binding_schema: str, select_schema: str) -> DataFrame:
+    """layer, expert, sha256 that a recipe binds, and the manifests' digests as rows without an expert (provider,
+    sha256). A recipe without a binding has no rows; one of another shape is an error."""
+    b = F.from_json("value", BINDING)["fetch_binding"]
+    rows = whole(spark, path).select(b.alias("b"), F.get_json_object("value", "$.fetch_binding").isNotNull().alias("there"))
+    good = (F.col("b.schema") == binding_schema) & (F.col("b.providers.schema") == select_schema) & F.col("b.content.manifests").isNotNull() & F.col("b.content.experts").isNotNull()
+    checked = F.when(F.col("there"), F.when(F.coalesce(good, F.lit(False)), F.col("b.content")).otherwise(F.raise_error(F.lit("bad fetch binding"))))
+    rows = rows.select(checked.alias("c"))
+    none = F.lit(None)
+    experts = rows.select(F.explode("c.experts").alias("layer", "e")).select("layer", F.explode("e").alias("expert", "sha256"))
+    experts = experts.select(F.col("layer").cast("int"), F.col("expert").cast("int"), none.cast("string").alias("provider"), "sha256")
+    return experts.union(rows.select(F.explode("c.manifests").alias("provider", "sha256")).select(none.cast("int"), none.cast("int"), "provider", "sha256"))
+
+
+def side_metadata(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """One row: of a source's config the given keys of its tail, its tier bitmap and the digest of its corpus; what
+    isn't there is NULL."""
+    text = whole(spark, f"{folder.rstrip('/')}/*.json").withColumn("name", F.substring_index("path", "/", -1))
+    one = text.agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(a) for n, a in (("config.json", "c"), ("tier_bitmap.json", "t"), ("calibration_manifest.json", "m"))))
+    tail = F.from_json(F.get_json_object("c", "$.hybrid_tr3_tail"), "map<string,string>")
+    return one.select(F.map_filter(tail, lambda k, v: k.isin(keys)).alias("config"), F.from_json("t", "map<string,struct<k:array<int>>>").alias("bitmap"), F.get_json_object("m", "$.corpus_sha256").alias("corpus_sha256"))
+
+
+def remote_listing(answers: DataFrame) -> DataFrame:
+    """path, size, lfs, blob of a hub's answers (value: a JSON object whose siblings have rfilename, size, blob_id and
+    lfs), one or many pages."""
+    file = "struct<rfilename:string,size:bigint,blob_id:string,lfs:struct<sha256:string>>"
+    rows = answers.select(F.explode(F.from_json("value", f"siblings array<{file}>")["siblings"]).alias("f"))
+    return rows.select(F.col("f.rfilename").alias("path"), "f.size", F.col("f.lfs.sha256").alias("lfs"), F.col("f.blob_id").alias("blob"))
 
 
 def eps(spark: SparkSession, path: str) -> DataFrame:

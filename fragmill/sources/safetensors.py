@@ -14,11 +14,12 @@ import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
 from fragmill.operators.checks import SegmentIntegrityError
-from fragmill.sources.transport import Transport
+from fragmill.sources.transport import PinnedRevision, Transport
 
 MOST_HEADER = 1 << 26
 HEADER_SCHEMA = "path string, name string, dtype string, shape array<long>, lo long, hi long, body_offset long, file_size long, header_sha256 string, metadata map<string,string>"
@@ -40,14 +41,21 @@ def parse_header(raw: bytes, file_size: int, path: str = "") -> tuple[dict, dict
         return dict(pairs)
 
     try:
-        header = json.loads(raw[8 : 8 + n], object_pairs_hook=once)
-    except ValueError as e:
+        header = json.loads(raw[8 : 8 + n].decode("utf-8"), object_pairs_hook=once)
+    except (ValueError, RecursionError) as e:
         if isinstance(e, SegmentIntegrityError):
             raise
         raise SegmentIntegrityError(f"{path}: header isn't JSON") from None
     if not isinstance(header, dict):
         raise SegmentIntegrityError(f"{path}: header isn't an object")
     metadata = header.pop("__metadata__", {})
+    if not isinstance(metadata, dict):
+        raise SegmentIntegrityError(f"{path}: metadata isn't an object")
+    for name, t in header.items():
+        fields = (t.get("dtype"), t.get("shape"), t.get("data_offsets")) if isinstance(t, dict) else (None, None, None)
+        whole = all(isinstance(x, list) and all(type(i) is int and i >= 0 for i in x) for x in fields[1:])
+        if not (isinstance(fields[0], str) and whole and len(fields[2]) == 2 and fields[2][0] <= fields[2][1] <= file_size - 8 - n):
+            raise SegmentIntegrityError(f"{path}: bad entry {name!r}")
     return header, metadata, 8 + n
 
 
@@ -85,8 +93,19 @@ class _HeaderReader(DataSourceReader):
                 yield path, name, t["dtype"], t["shape"], lo, hi, body, size, digest, {k: str(v) for k, v in metadata.items()}
 
 
+class _PrunedHeaderReader(_HeaderReader):
+    def pushFilters(self, filters):
+        """Keeps the files that equalities of the path ask for; every other condition is Spark's."""
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) and f.attribute == ("path",) else set(f.value) if isinstance(f, In) and f.attribute == ("path",) else None
+            if wanted is None:
+                yield f
+            else:
+                self.paths = [p for p in self.paths if p in wanted]
+
+
 class TensorHeaders(DataSource):
-    """options: paths (JSON list), filesPerTask."""
+    """options: paths (JSON list), filesPerTask, pushFilters (true where the session pushes filters to sources)."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,7 +115,7 @@ class TensorHeaders(DataSource):
         return HEADER_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _HeaderReader(self.options)
+        return (_PrunedHeaderReader if self.options.get("pushfilters") == "true" else _HeaderReader)(self.options)
 
 
 class _SpanReader(DataSourceReader):
@@ -139,7 +158,8 @@ def register(spark: SparkSession) -> None:
 
 def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     register(spark)
-    return spark.read.format("tensor_headers").option("paths", json.dumps(paths)).load()
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
+    return spark.read.format("tensor_headers").option("paths", json.dumps(paths)).option("pushFilters", push).load()
 
 
 def spans(spark: SparkSession, requests: list, content: bool = True) -> DataFrame:
@@ -147,6 +167,27 @@ def spans(spark: SparkSession, requests: list, content: bool = True) -> DataFram
     return spark.read.format("byte_spans").option("requests", json.dumps(requests)).option("content", str(content)).load()
 
 
+def read_spans(requests: DataFrame, content: bool = True, **options) -> DataFrame:
+    """The rows that byte_spans gives, for a table of requests (path, start, stop) of any size: dealt by file, read in
+    offset order, with one Transport (its options: pace, retries, headers, commit) a task; a failed read is tried
+    again there. commit: the revision that every remote answer must carry."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        given = dict(options)
+        commit = given.pop("commit", None)
+        transport = Transport(pinned=PinnedRevision(commit) if commit else None, **given)
+        for batch in batches:
+            for path, start, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop"))):
+                raw = transport.get_range(path, start, stop)
+                row = {"path": path, "start": start, "stop": stop, "sha256": hashlib.sha256(raw).hexdigest(), "content": raw if content else None}
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("sha256", pa.string()), ("content", pa.binary())]))
+
+    rows = requests.select("path", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    return rows.repartition("path").sortWithinPartitions("path", "start").mapInArrow(run, SPAN_SCHEMA)
+
+
 def write_container(path: str, tensors: list[tuple[str, str, list[int], bytes]], metadata: dict | None = None) -> dict:
     """Writes tensors in the given order; header padded to 8 bytes; renamed into place when complete. Returns
     the size and the digests of file, header and tensors, taken in the same pass."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import http.client
 import os
 import time
 import urllib.error
 import urllib.request
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 RETRYABLE = {408, 425, 429}
 
@@ -15,6 +16,10 @@ class ShortRead(OSError):
     pass
 
 
+class RevisionMoved(ValueError):
+    pass
+
+
 class _KeepSecrets(urllib.request.HTTPRedirectHandler):
     """Redirects to another host lose the Authorization header."""
 
@@ -27,10 +32,12 @@ class _KeepSecrets(urllib.request.HTTPRedirectHandler):
 
 
 class Transport:
-    """Counts requests and bytes. fetch(url, start, stop) can be replaced, as tests do."""
+    """Counts requests and bytes. fetch(url, start, stop) can be replaced, as tests do. pinned: a PinnedRevision that
+    every answer's header ``commit_header`` must carry."""
 
-    def __init__(self, pace: float = 0.0, retries: int = 6, headers: dict | None = None, fetch=None, sleep=time.sleep):
+    def __init__(self, pace: float = 0.0, retries: int = 6, headers: dict | None = None, fetch=None, sleep=time.sleep, pinned: PinnedRevision | None = None, commit_header: str = "X-Repo-Commit"):
         self.pace, self.retries, self.headers = pace, retries, headers or {}
+        self.pinned, self.commit_header = pinned, commit_header
         self.fetch, self.sleep = fetch or self._http, sleep
         self.requests = self.bytes = 0
 
@@ -41,6 +48,12 @@ class Transport:
         with urllib.request.build_opener(_KeepSecrets()).open(req, timeout=120) as r:
             return r.read(), dict(r.headers)
 
+    def _observed(self, answer):
+        raw, headers = answer
+        if self.pinned is not None:
+            self.pinned.observe(next((v for k, v in headers.items() if k.lower() == self.commit_header.lower()), None))
+        return raw, headers
+
     def _retrying(self, call):
         for n in range(self.retries + 1):
             if self.pace:
@@ -51,7 +64,7 @@ class Transport:
                 if n == self.retries or not (e.code in RETRYABLE or e.code >= 500):
                     raise
                 after = (e.headers or {}).get("Retry-After")
-            except (urllib.error.URLError, ShortRead, TimeoutError):
+            except (urllib.error.URLError, http.client.HTTPException, ConnectionError, ShortRead, TimeoutError):
                 if n == self.retries:
                     raise
                 after = None
@@ -60,7 +73,7 @@ class Transport:
     def size(self, path: str) -> int:
         if "://" not in path:
             return os.path.getsize(path)
-        _, headers = self._retrying(lambda: self.fetch(path, 0, 1))
+        _, headers = self._retrying(lambda: self._observed(self.fetch(path, 0, 1)))
         return int(headers["Content-Range"].rpartition("/")[2])
 
     def get_range(self, path: str, start: int, stop: int) -> bytes:
@@ -74,7 +87,7 @@ class Transport:
         else:
 
             def once():
-                raw, _ = self.fetch(path, start, stop)
+                raw, _ = self._observed(self.fetch(path, start, stop))
                 if len(raw) != stop - start:
                     raise ShortRead(f"{path}: {len(raw)} of {stop - start} bytes")
                 return raw
@@ -92,7 +105,7 @@ class Transport:
             with open(path, "rb") as f:
                 return f.read()
         try:
-            raw, _ = self._retrying(lambda: self.fetch(path, 0, None))
+            raw, _ = self._retrying(lambda: self._observed(self.fetch(path, 0, None)))
         except urllib.error.HTTPError as e:
             if missing_ok and e.code == 404:
                 return None
@@ -105,6 +118,16 @@ class Transport:
         return {"requests": self.requests, "bytes": self.bytes}
 
 
+def auth_headers(url: str, endpoint: str, token: str | None, agent: str) -> dict:
+    """Headers of a request: the token goes to its own endpoint alone."""
+    own = urlsplit(url)[:2] == urlsplit(endpoint)[:2]
+    return {"User-Agent": agent} | ({"Authorization": f"Bearer {token}"} if token and own else {})
+
+
+def resolve_url(endpoint: str, repo: str, revision: str, path: str) -> str:
+    return f"{endpoint.rstrip('/')}/{repo}/resolve/{quote(revision, safe='')}/{path}"
+
+
 class PinnedRevision:
     """A symbolic revision resolved once; every later answer must carry the same commit."""
 
@@ -113,4 +136,4 @@ class PinnedRevision:
 
     def observe(self, commit: str | None) -> None:
         if commit is None or commit.lower() != self.commit:
-            raise ValueError(f"revision moved from {self.commit} to {commit}")
+            raise RevisionMoved(f"revision moved from {self.commit} to {commit}")

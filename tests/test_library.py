@@ -185,7 +185,7 @@ def test_names_and_digests(spark):
     assert names.int_set("3-5, 12,,4") == [3, 4, 5, 12]
     df = spark.createDataFrame([("3-5, 12,,4", "ab", "2026-13-99T00:00:00Z")], "t string, b string, u string")
     r = df.select(names.int_set_column(F.col("t")).alias("s"), digest.git_blob(F.encode("b", "UTF-8")).alias("g"), names.is_utc(F.col("u")).alias("u"), names.human(F.lit(1500)).alias("h"), names.segment_name(F.lit(3), F.lit(4)).alias("n"), names.lenient_int(F.lit(" 7 ")).alias("i"), names.lenient_int(F.lit("true")).alias("j")).first()
-    assert list(r.s) == [3, 4, 5, 12] and r.g == hashlib.sha1(b"blob 2\0ab").hexdigest() and r.u and r.h == "1.5 kB" and r.n == "layer-003.k4.safetensors" and r.i == 7 and r.j is None
+    assert list(r.s) == [3, 4, 5, 12] and r.g == hashlib.sha1(b"blob 2\0ab").hexdigest() and r.u and r.h == "1.46 KB" and r.n == "layer-003.k4.safetensors" and r.i == 7 and r.j is None
     assert digest.canonical_json({"b": "é", "a": [1, None]}) == b'{"a":[1,null],"b":"\\u00e9"}'
     assert df.select(digest.canonical(F.lit('{"b":1, "a":2}')).alias("c"), digest.canonical(F.lit("{")).alias("d")).first()[:] == ('{"a":2,"b":1}', None)
     assert names.source_spec("o/r@main:a/b") == {"repo": "o/r", "revision": "main", "subdir": "a/b"}
@@ -193,7 +193,9 @@ def test_names_and_digests(spark):
         with pytest.raises(ValueError):
             names.source_spec(bad)
     assert names.family_spec("x=/p,k=3+4") == {"label": "x", "path": "/p", "k": [3, 4]}
-    assert names.locator("o/r", "A" * 40) == "o%2Fr@" + "a" * 40
+    assert names.locator("o/r", "A" * 40) == "o%2Fr@" + "a" * 40 + ":"
+    with pytest.raises(ValueError):
+        names.locator("o/r", "main")
     with pytest.raises(Exception, match="unknown projection"):
         names.with_tensor_key(spark.createDataFrame([("model.layers.1.mlp.experts.2.odd_proj.rank0.suh",)], "name string")).collect()
 
