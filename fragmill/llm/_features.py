@@ -110,6 +110,13 @@ def remainder(doc_id: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def sampled(df: DataFrame, most: int) -> DataFrame:
+    """All rows, or a random sample of them with a hard bound near ``most``, whatever ids or texts repeat. df should be
+    a written table, so that a task that is run again draws the same rows."""
+    n = df.count()
+    return df if n <= most else df.where(F.rand(17) < most / n).limit(most + most // 10)
+
+
 def about(df: DataFrame, key: str, most: int) -> DataFrame:
     """All rows, or about ``most`` of them, chosen by a hash of key: a bounded sample for fitting a model."""
     n = df.count()

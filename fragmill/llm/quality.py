@@ -7,7 +7,9 @@ texts alone: prior * density among positives / density among unlabelled, made mo
 positives against unlabelled texts: the least ratio, over score thresholds, of the unlabelled share above a
 threshold to the positive share above it, with a margin for the sample's size.
 
-Both samples are bounded (``most_rows`` each); every text is scored whole. Rows of quality 0 are never used.
+The networks are fitted on bounded samples (``most_rows`` each); the shares of unlabelled texts in the prior and in the
+calibration come from histograms of all texts' outputs. Features are computed once, for every whole text. Rows of
+quality 0 are never used.
 
 Defined results: null counts as empty text; without positives or texts every score is 0.5; repeated rows get
 equal scores; several labels of an id count as several rows; an empty table gives an empty result.
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 
 from fragmill.llm import _features as X
 from fragmill.llm import _text as T
+from fragmill.llm._tables import written
 from fragmill.llm.toxicity import isotonic
 
 MOST_ROWS = 20_000
 THRESHOLD = 0.3
+BINS = 4096
 HIDDEN, STEPS, BATCH, RATE = 24, 1500, 512, 0.01
 
 
@@ -64,8 +68,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11) -> float:
-    """Best-bin estimate on halves that the classifier hasn't seen."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11, counts=None) -> float:
+    """Best-bin estimate on halves that the classifier hasn't seen; counts(net, edges): how many of all texts lie in
+    each bin (by default those of the other half)."""
     rng = np.random.default_rng(seed)
     p, u = positive[0::2], unlabelled[0::2]
 
@@ -80,22 +85,36 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11)
     if not len(sp) or not len(su):
         return 0.5
     at = np.unique(np.concatenate([sp, su]))
+    n = len(su)
+    if counts is None:
+        above_u = 1 - np.searchsorted(su, at, "left") / n
+    else:
+        at = grid(at)
+        held = counts(net, at)
+        n = held.sum()
+        above_u = np.cumsum(held[::-1])[::-1][1:] / n
     above_p = 1 - np.searchsorted(sp, at, "left") / len(sp)
-    above_u = 1 - np.searchsorted(su, at, "left") / len(su)
-    margin = np.sqrt(np.log(40) / 2) * (len(sp) ** -0.5 + len(su) ** -0.5)
+    margin = np.sqrt(np.log(40) / 2) * (len(sp) ** -0.5 + n**-0.5)
     ok = above_p > 0.1
     best = np.argmin((above_u[ok] + margin) / above_p[ok])
     return float(np.clip((above_u[ok] / above_p[ok])[best], 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> dict:
+def grid(values: np.ndarray) -> np.ndarray:
+    """At most BINS edges, spread over the sorted distinct values."""
+    return values if len(values) <= BINS else values[np.linspace(0, len(values) - 1, BINS).astype(int)]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, counts=None) -> dict:
+    """counts(scaled, net, edges): how many of all texts have outputs below the first edge, in each bin, and from the
+    last edge on (by default the unlabelled sample's other half stands for all)."""
     both = np.concatenate([positive, unlabelled])
     middle, spread = np.median(both, axis=0), both.std(axis=0) + 1e-6
 
     def scaled(x: np.ndarray) -> np.ndarray:
         return np.clip((x - middle) / spread, -6, 6)
 
-    prior = estimate_prior(scaled(positive), scaled(unlabelled)) if prior is None else prior
+    prior = estimate_prior(scaled(positive), scaled(unlabelled), counts=counts and (lambda net, at: counts(scaled, net, at))) if prior is None else prior
     p, u = scaled(positive[0::2]), scaled(unlabelled[0::2])
     rng = np.random.default_rng(5)
 
@@ -113,15 +132,21 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 
     net = Net(p.shape[1]).train(gradient)
     sp, su = net.out(scaled(positive[1::2])), net.out(scaled(unlabelled[1::2]))
-    at, share = isotonic(np.concatenate([sp, su]), np.repeat([1.0, 0.0], [len(sp), len(su)]))
+    weight = np.ones(len(su))
+    if counts is not None:  # bins of all texts in place of the sample, at the sample's weight
+        edges = grid(np.unique(np.concatenate([sp, su])))
+        held = counts(scaled, net, edges)
+        weight, su_at = held * (len(su) / max(held.sum(), 1)), np.concatenate([[edges[0] - 1e-9], edges])
+    else:
+        su_at = su
+    at, share = isotonic(np.concatenate([sp, su_at]), np.repeat([1.0, 0.0], [len(sp), len(su_at)]), np.concatenate([np.ones(len(sp)), weight]))
     value = np.clip(prior * len(su) / max(len(sp), 1) * share / np.maximum(1 - share, 1e-9), 0, 1)
     return {"net": net, "middle": middle, "spread": spread, "prior": prior, "steps": (at, value)}
 
 
-def score(model: dict | None, column: pa.Array) -> np.ndarray:
+def score(model: dict | None, x: np.ndarray) -> np.ndarray:
     if model is None:
-        return np.full(len(column), 0.5)
-    x = X.style(X.Words(column))
+        return np.full(len(x), 0.5)
     raw = model["net"].out(np.clip((x - model["middle"]) / model["spread"], -6, 6))
     return 0.98 * np.interp(raw, *model["steps"]) + 0.02 * sigmoid(raw)
 
@@ -129,31 +154,46 @@ def score(model: dict | None, column: pa.Array) -> np.ndarray:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in T.blocks(batches):
         x = X.style(X.Words(block.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["x"])
+        yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+
+
+def _matrix(column) -> np.ndarray:
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw).reshape(len(column), -1) if raw else np.zeros((0, len(X.STYLE)))
+
 
+def learn(vectors: DataFrame, positives: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
+    """vectors: doc_id, x of all texts, written; positives: doc_id of trusted rows."""
+    known = X.about(positives.where("doc_id is not null").distinct(), "doc_id", most_rows)
+    rows = vectors.join(F.broadcast(known), "doc_id", "left_semi")  # a broadcast of about most_rows ids
+    p, u = (_matrix(X.sampled(df.select("x"), most_rows).toArrow().column("x")) for df in (written(rows), vectors))
 
-def _matrix(texts: DataFrame) -> np.ndarray:
-    return np.array(texts.select("text").mapInArrow(_vectors, "x array<double>").toArrow().column("x").to_pylist())
+    def counts(scaled, net: Net, edges: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(len(edges) + 1, np.int64)
+            for batch in batches:
+                held += np.bincount(np.searchsorted(edges, net.out(scaled(_matrix(batch.column("x")))), "right"), minlength=len(held))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], names=["bin", "held"])
 
+        got = vectors.select("x").mapInArrow(run, "bin long, held long").groupBy("bin").agg(F.sum("held").alias("held")).toArrow()
+        held = np.zeros(len(edges) + 1)
+        held[got.column("bin").to_numpy()] = got.column("held").to_numpy()
+        return held
 
-def learn(docs: DataFrame, positives: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
-    """positives: doc_id of trusted rows."""
-    # a broadcast of about most_rows ids
-    known = X.about(positives.where("doc_id is not null"), "doc_id", most_rows)
-    p, u = _matrix(docs.join(F.broadcast(known), "doc_id", "left_semi")), _matrix(X.about(docs, "doc_id", most_rows))
-    return fit(p, u) if len(p) > 3 and len(u) > 3 else None
+    return fit(p, u, counts=counts) if len(p) > 3 and len(u) > 3 else None
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted; rows whose crc32(doc_id) mod ``mod`` is ``held`` teach nothing."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    vectors = written(docs.mapInArrow(_vectors, "doc_id long, x binary"))
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    model = learn(docs, trusted.where(X.remainder("doc_id", mod) != held), most_rows)
+    model = learn(vectors, trusted.where(X.remainder("doc_id", mod) != held), most_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in T.blocks(batches):
-            s = score(model, block.column("text"))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        for batch in batches:
+            s = score(model, _matrix(batch.column("x")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    out = vectors.mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", (X.remainder("doc_id", mod) == held).alias("held_out"), "score", "predicted")

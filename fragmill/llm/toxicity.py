@@ -16,6 +16,7 @@ labels of an id count as several rows; an id's label is used for every text of t
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from fragmill.llm._tables import written
 
 MOST_ROWS = 24_000
 HEADS = (4, 5, 6)
-LEAST_TEXTS, LEAST_ODDS, MOST_ENTRIES = 3, 2.5, 20_000
+LEAST_TEXTS, LEAST_ODDS, MOST_ENTRIES, CELL_BITS = 3, 2.5, 100_000, 20
+HALVES = ((0,), (1,), (0, 1))
 THRESHOLD = 0.3
 
 
@@ -84,12 +86,13 @@ class Trees:
         return out
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators with a prior of half a row of each class at the ends; steps (score, value)."""
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators of weighted rows, with a small prior of each class; steps (score, value)."""
     order = np.argsort(score, kind="stable")
+    weight = np.ones(len(score)) if weight is None else weight
     blocks: list[list[float]] = []
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        blocks.append([s, v, 1.0])
+    for s, v, w in zip(score[order].tolist(), (y * weight)[order].tolist(), weight[order].tolist()):
+        blocks.append([s, v, w])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             s2, v2, n2 = blocks.pop()
             blocks[-1] = [s2, blocks[-1][1] + v2, blocks[-1][2] + n2]
@@ -120,15 +123,28 @@ def features(column: pa.Array, lexicon: dict) -> np.ndarray:
     return np.column_stack([*cols, X.style(w)])
 
 
-def _counts(names: list[np.ndarray] | None):
-    """In how many texts of either half each word and beginning occurs, block by block; names: only these."""
+def _cell(kind: int, keys: np.ndarray) -> np.ndarray:
+    return (T.mix(keys + np.uint64(kind)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kind, key = batch.column("kind").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
+        own = [_cell(k, key[kind == k]) for k in range(1 + len(HEADS))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)))], names=["cell"])
+
+
+def _counts(cells: np.ndarray | None):
+    """In how many texts of either half each word and beginning occurs, block by block; cells: only those whose cell
+    is set (and some others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batches):
             w = X.Words(block.column("text"))
             odd = np.array(block.column("part").to_pylist()) % 2 == 1
             for kind, keys in enumerate([w.hash, *(w.heads(k) for k in HEADS)]):
-                at = np.flatnonzero(keys != 0 if names is None else X.member(names[kind], keys) >= 0)
+                at = np.flatnonzero(keys != 0)
+                at = at if cells is None else at[cells[_cell(kind, keys[at])]]
                 _, once = np.unique(T.mix(keys[at] ^ T.mix(w.doc[at].astype(np.uint64))), return_index=True)
                 at = at[once]
                 own, place = np.unique(keys[at], return_inverse=True)
@@ -139,32 +155,43 @@ def _counts(names: list[np.ndarray] | None):
 
 
 def learn_lexicons(rows: DataFrame) -> list[dict]:
-    """rows: text, label, part. Entries that mark toxic texts, learnt from the even parts, the odd parts and all;
-    at most MOST_ENTRIES of each kind on average, the most frequent ones. Clean texts are only counted for
-    entries of toxic ones."""
+    """rows: text, label, part. Entries that mark toxic texts, learnt from the even parts, the odd parts and all. Spark
+    counts texts and takes the log-odds; only entries that mark toxic texts in one of the three come to the driver,
+    the most telling first, MOST_ENTRIES at most (a warning says if there are more). Clean texts are counted where
+    an entry of toxic ones may be, by a table of 2 ** CELL_BITS cells."""
     n = {(bool(r.label), r.odd): r["count"] for r in rows.groupBy("label", (F.col("part") % 2).alias("odd")).count().collect()}
 
-    def counted(label: bool, names: list[np.ndarray] | None) -> DataFrame:
-        found = rows.where(F.col("label") == label).select("text", "part").mapInArrow(_counts(names), "kind int, key long, even long, odd long")
+    def counted(label: bool, cells: np.ndarray | None) -> DataFrame:
+        found = rows.where(F.col("label") == label).select("text", "part").mapInArrow(_counts(cells), "kind int, key long, even long, odd long")
         return found.groupBy("kind", "key").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
 
-    toxic = counted(True, None).where(f"even + odd >= {LEAST_TEXTS}").orderBy(F.desc(F.expr("even + odd")), "kind", "key").limit(MOST_ENTRIES * (1 + len(HEADS))).toArrow()
-    kind, key, *bads = (toxic.column(c).to_numpy() for c in toxic.column_names)
-    names = [np.sort(key[kind == k].view(np.uint64)) for k in range(1 + len(HEADS))]
-    clean = {(r.kind, r.key): (r.even, r.odd) for r in counted(False, names).collect()}
-    goods = np.array([clean.get(k, (0, 0)) for k in zip(kind.tolist(), key.tolist())]).reshape(-1, 2).T
-    counts = [*bads, *goods]
+    toxic = written(counted(True, None).where(f"even + odd >= {LEAST_TEXTS}"))
+    cells = np.zeros(1 << CELL_BITS, bool)
+    cells[toxic.mapInArrow(_cells, "cell long").distinct().toArrow().column("cell").to_numpy()] = True
+    clean = counted(False, cells).select("kind", "key", F.col("even").alias("good_even"), F.col("odd").alias("good_odd"))
+    both = toxic.join(clean, ["kind", "key"], "left").fillna(0, ["good_even", "good_odd"])
+    sizes = [[sum(n.get((t, h), 0) for h in halves) + 1.0 for t in (True, False)] for halves in HALVES]
+
+    def odds(halves: tuple[int, ...], size: list[float]):
+        bad, good = (sum((F.col(c[h]) for h in halves), F.lit(0)) for c in (("even", "odd"), ("good_even", "good_odd")))
+        value = F.log((bad + 0.5) / size[0]) - F.log((good + 0.5) / size[1])
+        return F.when(bad >= LEAST_TEXTS, value).otherwise(0.0)
+
+    names = [f"odds{i}" for i in range(len(HALVES))]
+    told = both.select("kind", "key", *(odds(h, s).alias(c) for h, s, c in zip(HALVES, sizes, names))).withColumn("top", F.greatest(*names)).where(F.col("top") >= LEAST_ODDS)
+    got = told.orderBy(F.desc("top"), "kind", "key").limit(MOST_ENTRIES + 1).toArrow()
+    if got.num_rows > MOST_ENTRIES:
+        logging.getLogger(__name__).warning("the lexicon has more than %d entries; the least telling are left out", MOST_ENTRIES)
+        got = got.slice(0, MOST_ENTRIES)
+    kind, key = got.column("kind").to_numpy(), got.column("key").to_numpy().view(np.uint64)
     out = []
-    for halves in ((0,), (1,), (0, 1)):
-        bad, good = (sum(counts[i + h] for h in halves) for i in (0, 2))
-        n_bad, n_good = (sum(n.get((t, h), 0) for h in halves) + 1.0 for t in (True, False))
-        odds = np.log((bad + 0.5) / n_bad) - np.log((good + 0.5) / n_good)
+    for c in names:
+        value = got.column(c).to_numpy()
         lexicon = {"person": X.second_person()}
         for i, name in enumerate(("word", *(f"head{k}" for k in HEADS))):
-            pick = (kind == i) & (bad >= LEAST_TEXTS) & (odds >= LEAST_ODDS)
-            names = key[pick].view(np.uint64)
-            order = np.argsort(names)
-            lexicon[name] = names[order], odds[pick][order]
+            pick = (kind == i) & (value >= LEAST_ODDS)
+            order = np.argsort(key[pick])
+            lexicon[name] = key[pick][order], value[pick][order]
         out.append(lexicon)
     return out
 
@@ -176,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)).cast("int")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about most_rows pairs of numbers
     rows = written(rows.select("text", (F.col("label") > 0).alias("label"), part.alias("part")))
+    rows = X.sampled(rows, 2 * most_rows)  # where labelled ids name very many rows
     *halves, lexicon = learn_lexicons(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
