@@ -85,10 +85,10 @@ def attestation_name(layer: Column, k: Column) -> Column:
 
 
 def human(x: Column) -> Column:
-    """Bytes in powers of 1024: whole bytes, else two digits; TB is the last unit."""
+    """Bytes in powers of 1024: whole bytes, else two digits, halves to even; TB is the last unit."""
     out = F.format_string("%d B", x.cast("long"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(F.abs(x) >= 1024**power, F.format_string(f"%.2f {unit}", x.cast("double") / 1024.0**power)).otherwise(out)
+        out = F.when(F.abs(x) >= 1024**power, F.format_string(f"%.2f {unit}", F.bround(x.cast("double") / 1024.0**power, 2))).otherwise(out)
     return out
 
 

@@ -13,7 +13,7 @@ import os
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
@@ -209,18 +209,17 @@ def write_container(path: str, tensors: list[tuple[str, str, list[int], bytes]],
     return {"sha256": whole.hexdigest(), "size": len(head) + at, "body_offset": len(head), "header_sha256": hashlib.sha256(head).hexdigest(), "tensors": digests}
 
 
-def write_segments(tensors: DataFrame, folder: str, by: list[str], order: list[str], file_name) -> DataFrame:
-    """One container per group of rows (name, dtype, shape, content), written by the group's task to a folder
-    that all executors share; a row per file with its digests. file_name(key dict) -> name."""
-
-    def write(key, pdf):
-        import pandas as pd
-
-        key = dict(zip(by, (k.item() if hasattr(k, "item") else k for k in key)))
-        pdf = pdf.sort_values(order)
-        name = file_name(key)
-        got = write_container(os.path.join(folder, name), [(r.name_, r.dtype, [int(x) for x in r.shape_], bytes(r.content)) for r in pdf.rename(columns={"name": "name_", "shape": "shape_"}).itertuples()], key)
-        return pd.DataFrame([{**key, "file": name, **{k: got[k] for k in ("sha256", "size", "body_offset", "header_sha256")}}])
-
-    schema = StructType([tensors.schema[c] for c in by]).add("file", "string").add("sha256", "string").add("size", "long").add("body_offset", "long").add("header_sha256", "string")
-    return tensors.groupBy(*by).applyInPandas(write, schema)
+def write_segments(tensors: DataFrame, folder: str, by: list[str], order: list[str], file: Column) -> DataFrame:
+    """One container per group of rows (name, dtype, shape, content), in a folder that all executors share; a row per
+    file with its digests. file: the name from the group's columns. Places are computed on rows without content, so
+    that a group's bytes are only ever a stream of pieces."""
+    from fragmill.operators.fetch import header_json, land
+    from fragmill.operators.layout import running_offsets
+
+    rows = tensors.withColumn("file", file).withColumn("size", F.octet_length("content").cast("long")).withColumn("sha256", F.sha2("content", 256))
+    laid = running_offsets(rows.drop("content"), ["file"], [*order, "name"]).withColumnsRenamed({"lo": "new_lo", "hi": "new_hi"})
+    keys = rows.select(*by, "file").distinct()
+    meta = F.to_json(F.create_map(*(x for c in by for x in (F.lit(c), F.col(c).cast("string")))))
+    layouts = header_json(laid).join(keys.select("file", meta.alias("metadata")), "file")
+    pieces = laid.select("file", "name", F.col("new_lo").alias("local_off"), "size", "sha256").join(rows.select("file", "name", "content"), ["file", "name"])
+    return keys.join(land(pieces, layouts, folder), "file").select(*by, "file", "sha256", "size", "body_offset", "header_sha256")

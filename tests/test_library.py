@@ -125,7 +125,7 @@ def test_span_rules(spark):
 def test_segment_writer(spark, tmp_path):
     data = [(1, 2, f"t{i}", "U8", [4], bytes([i] * 4), i) for i in (2, 0, 1)] + [(2, 2, "u", "U8", [1], b"x", 0)]
     df = spark.createDataFrame(data, "layer int, k int, name string, dtype string, shape array<long>, content binary, ord int")
-    got = safetensors.write_segments(df, str(tmp_path), ["layer", "k"], ["ord"], lambda key: f"layer-{key['layer']:03d}.k{key['k']}.safetensors").collect()
+    got = safetensors.write_segments(df, str(tmp_path), ["layer", "k"], ["ord"], names.segment_name(F.col("layer"), F.col("k"))).collect()
     for r in got:
         raw = (tmp_path / r.file).read_bytes()
         assert hashlib.sha256(raw).hexdigest() == r.sha256 and len(raw) == r.size
