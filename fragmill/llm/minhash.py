@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmill.llm import _text as T
-from fragmill.llm._tables import components, unused, written
+from fragmill.llm._tables import components, dropped, unused, written
 
 HASHES = 2
 MOST_MISSED, MOST_UNLIKE = 2e-5, 1e-5
@@ -330,6 +330,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     opened = written(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_still_open(percent), schema))
     second = opened.join(keys, "rep").select("block", "lone", "g", "rep", "n", "sketch", "component", "keys").repartition("block").sortWithinPartitions("block")
     second = written(second.mapInArrow(_block_links(percent), "a long, b long"))
+    dropped(active, popular, pairs, keys, members, groups, many, opened)
     return first.union(second)
 
 

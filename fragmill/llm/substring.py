@@ -35,7 +35,8 @@ def remove_repeated_windows(docs: DataFrame, k: int = 35, with_text: bool = Fals
     """doc_id, n_words, n_removed, kept_sha256; with_text also the kept text and the removed word spans."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = X.measure(docs)
-    bits = X.bucket_bits(total // 6)
+    all_bits = X.bucket_bits(total // 6)
+    bits = X.top(all_bits)
     dealt = X.dealt(docs, total)
 
     def send(table: pa.Table) -> pa.Table:
@@ -59,7 +60,7 @@ def remove_repeated_windows(docs: DataFrame, k: int = 35, with_text: bool = Fals
             out["spans"] = pa.array([_runs(gone[a:b]) for a, b in zip(word_off[:-1], word_off[1:])], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.table(out)
 
-    replies = dealt.groupBy("chunk").applyInArrow(send, X.SENT).groupBy("bucket").applyInArrow(X.repeated, X.REPLY)
+    replies = X.exchanged(dealt.groupBy("chunk").applyInArrow(send, X.SENT), X.repeated, all_bits, {0: X.merged_flags})
     schema = RESULT if with_text else RESULT.partition(", kept string")[0]
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
 

@@ -121,6 +121,14 @@ class _Chunk:
         return at, full, np.repeat(hot_runs[self.run_place[pick]], lens)
 
 
+def extremes(vals: list[np.ndarray], place: np.ndarray, n: int) -> list[np.ndarray]:
+    """The least and the largest of the runs' names in each of n buckets."""
+    least, most = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+    np.minimum.at(least, place, vals[0])
+    np.maximum.at(most, place, vals[1])
+    return [least, most]
+
+
 def _chunk(table: pa.Table, length: int) -> _Chunk:
     got = _Chunk(table, length)
     got.step = length - length // 2
@@ -131,7 +139,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text also the remaining bytes and removed spans."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = X.measure(docs)
-    bits = X.bucket_bits(total // max(1, length // 4) + total // 16)
+    all_bits = X.bucket_bits(total // max(1, length // 4) + total // 16)
+    bits = X.top(all_bits)
     dealt = X.dealt(docs, total)
 
     def send_runs(table: pa.Table) -> pa.Table:
@@ -144,15 +153,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool =
         if bucket >> bits != BUCKETS:
             return X.repeated(table)
         chunk, keys, lens, vals = X.gathered(table)
-        low = np.concatenate([X.unpack(v[0], n) for v, n in zip(vals, lens)])
-        high = np.concatenate([X.unpack(v[1], n) for v, n in zip(vals, lens)])
         names, _, place = X.distinct(keys)
-        least, most = np.full(len(names), ~np.uint64(0)), np.zeros(len(names), np.uint64)
-        np.minimum.at(least, place, low)
-        np.maximum.at(most, place, high)
-        mixed = (least != most)[place]
-        at = np.concatenate([[0], np.cumsum(lens)])
-        return X.rows([(c, bucket, X.flags(mixed[at[i] : at[i + 1]])) for i, c in enumerate(chunk)], X.REPLY_ARROW)
+        least, most = extremes(vals, place, len(names))
+        return X.rows(X.replies(chunk, bucket, lens, [(least != most)[place]]), X.REPLY_ARROW)
 
     def verdicts(c: _Chunk, replies: pa.Table):
         return X.answered_flags(replies, c.runs, bits, RUNS), X.answered_flags(replies, c.buckets, bits, BUCKETS)
@@ -200,7 +203,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool =
             out["spans"] = pa.array([_runs(~keep[i:j]) for i, j in zip(a, b)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.table(out)
 
-    first = dealt.groupBy("chunk").applyInArrow(send_runs, X.SENT).groupBy("bucket").applyInArrow(judge, X.REPLY)
+    merges = {RUNS: X.merged_flags, BUCKETS: extremes, STRINGS: X.merged_flags}
+    first = X.exchanged(dealt.groupBy("chunk").applyInArrow(send_runs, X.SENT), judge, all_bits, merges)
     second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_strings, X.SENT)
-    second = second.groupBy("bucket").applyInArrow(X.repeated, X.REPLY)
+    second = X.exchanged(second, X.repeated, all_bits, merges)
     return dealt.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(finish, RESULT_TEXT if with_text else RESULT)

@@ -7,15 +7,17 @@ smoothed with the parent's, p(w | c) = (n(c, w) + m * p(w | parent)) / (n(c) + m
 one of STRENGTHS whose left-out sum is largest. A token is scored in the longest kept suffix of its history;
 probabilities of a state sum to one over the training vocabulary and one unknown token.
 
-All counts cover all training texts and stay in Spark: chunks of the corpus send their distinct n-grams and
-get the global counts of just these back (see _exchange), words and pairs first. Contexts of one and two words
-are all put to the test if they occur LEAST_COUNT times, and triples are counted for these. Chunks send the
-left-out sums of their contexts and get the decisions back. From three words on the
-tree grows level by level: a context is tried if its parent is kept. Chunks send its next tokens with their counts
-and their left-out probability in the parent, which is the same wherever the n-gram stands, so that one round
-counts and decides a level; the levels end with the first that keeps none. Names of n-grams above words, and of
-contexts, are cut to a width that grows with the corpus, so that at most about one in 8000 shares a name (for an
-n-gram each six bytes); words are counted under 64 bits.
+All counts cover all training texts and stay in Spark. Texts are tokenised once into chunks (about CHUNK_BYTES of
+text of one partition, as places in the chunk's list of distinct words), which are written and read by all later
+steps. Chunks send their distinct n-grams and get the global counts of just these back (see _exchange), words and
+pairs first. All contexts of one and two words that occur LEAST_COUNT times are put to the test: chunks send the
+left-out sums of their contexts (in units of UNIT nats, which moves a sum by less than that a chunk) and get the decisions back, one word first, as a kept
+context of one word is the parent of longer ones. What a chunk then knows of its tokens is written,
+so that later steps ask and read only what is open. From three words on the tree grows level by level: a context is
+tried if its parent is kept. Chunks send its next tokens with their counts and their left-out probability in the
+parent, which is the same wherever the n-gram stands, so that one round counts and decides a level; the levels end
+with the first that keeps none. Names of n-grams above words, and of contexts, have so many bits that about one n-gram in 2**18 shares a name (for an n-gram each
+six bytes); words have 64. ``exact`` gives all names 64 bits and loses no precision in messages.
 
 Defined results: null counts as empty text, which is its end token; rows without doc_id count as id "" (held
 out); without training texts every probability is that of the unknown token; repeated rows each teach and get
@@ -26,23 +28,30 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmill.llm import _exchange as X
 from fragmill.llm import _text as T
-from fragmill.llm._tables import written
+from fragmill.llm._tables import dropped, written
 
+CHUNK = "chunk long, ids array<long>, lens binary, names binary, places binary"
+CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("names", pa.binary()), ("places", pa.binary())])
 END = np.uint64(0xE0DE0DE0DE0DE0D)
 STRENGTHS = (0.5, 4.0, 32.0)
 LEAST_GAIN, LEAST_COUNT = 3.0, 2
-GROW_COUNT = LEAST_COUNT  # a context's last word occurs as often as the context, so this holds none back
+UNIT, PARENT = 2.0**-8, np.float32  # of left-out sums in messages (nats), of left-out probabilities
+EXACT_UNIT, EXACT_PARENT = 2.0**-30, np.float64
 CHUNK_BYTES = 4 << 20
 PRIOR = 0.1
 WORD, PAIR, TRIPLE = 0, 1, 2
+SETTLED = -2  # the bucket of a row with what a chunk knows of its own tokens
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -50,26 +59,60 @@ def held_out(doc_id, mod: int = 10, rest: int = 0) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod == rest
 
 
-class _Chunk:
-    """Tokens of a chunk's documents and the distinct n-grams that end at them."""
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of CHUNK: runs of whole texts of a partition, tokenised."""
+    number = TaskContext.get().partitionId() << 32
+    rest: list[pa.RecordBatch] = []
+    size = 0
 
-    def __init__(self, table: pa.Table, name_bits: int, mod: int, rest: int):
+    def chunk(table: pa.Table) -> pa.RecordBatch:
         data, off = T.flat(table.column("text"))
         st, en, word_off = T.words(data, off)
-        n, words = len(off) - 1, np.diff(word_off)
-        self.ids = table.column("doc_id").to_pylist()
+        names, count, place = X.distinct(T.word_hashes(data, st, en, lower=True))
+        order = np.argsort(-count, kind="stable")  # frequent words get short places
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        cols = [X.squeezed(X.pack(np.diff(word_off).astype(np.uint32))), names[order].tobytes(), X.squeezed(X.pack(rank[place]))]
+        ids = pa.array([table.column("doc_id").to_pylist()], CHUNK_ARROW.field("ids").type)
+        return pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([c], pa.binary()) for c in cols)], schema=CHUNK_ARROW)
+
+    for block in T.blocks(batches, "text", CHUNK_BYTES):
+        own = block.column("text").nbytes
+        if rest and size + own > CHUNK_BYTES:
+            yield chunk(pa.Table.from_batches(rest))
+            number, rest, size = number + 1, [], 0
+        rest.append(block)
+        size += own
+    if rest:
+        yield chunk(pa.Table.from_batches(rest))
+
+
+class _Chunk:
+    """Tokens of a chunk's documents and the distinct n-grams that end at them."""
+
+    def __init__(self, table: pa.Table, name_bits: int, mod: int, rest: int, grams: bool = True):
+        self.ids = table.column("ids")[0].as_py()
+        n = len(self.ids)
+        names = np.frombuffer(table.column("names")[0].as_py(), np.uint64)
+        words = X.unpack(X.loosened(table.column("lens")[0].as_py()), n, np.uint32).astype(np.int64)
+        places = X.unpack(X.loosened(table.column("places")[0].as_py()), int(words.sum()), np.uint32)
         self.held = np.array([held_out(i, mod, rest) for i in self.ids], bool)
-        self.off = word_off + np.arange(n + 1)
-        self.tokens = np.full(len(st) + n, END, np.uint64)
-        last = np.zeros(len(self.tokens), bool)
+        self.off = np.concatenate([[0], np.cumsum(words + 1)])
+        names = np.append(names, END)
+        which = np.full(self.off[-1], len(names) - 1)
+        last = np.zeros(len(which), bool)
         last[self.off[1:] - 1] = True
-        self.tokens[~last] = T.word_hashes(data, st, en, lower=True)
+        which[~last] = places
+        self.tokens = names[which]
         self.doc = np.repeat(np.arange(n), words + 1)
         self.train = ~self.held[self.doc]
         place_in_doc = np.arange(len(self.tokens)) - self.off[self.doc]
         self.place, self.low = place_in_doc, np.uint64(64 - name_bits)
+        if not grams:
+            return
         t = self.tokens
-        self.grams = [(np.arange(len(t)), *X.distinct(t))]
+        words, count, rank = X.distinct(names)
+        self.grams = [(np.arange(len(t)), words, count, rank[which])]
         at = np.flatnonzero(place_in_doc >= 1)
         self.grams.append((at, *X.distinct(self.short(T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(1)))))))
 
@@ -86,19 +129,20 @@ class _Chunk:
 
     def extended(self, active: np.ndarray, order: int):
         """Of the tokens whose context of order - 1 words is kept, those with a longer one; the distinct n-grams'
-        contexts (sorted) and names, and each token's place among them."""
+        contexts (sorted) and next tokens (32 bits, as a context has few), and each token's place among them."""
         t, k = self.tokens, np.uint64(0x9E3779B97F4A7C15)
         at = active[self.place[active] >= order]
         context = np.zeros(len(at), np.uint64)
         for i in range(1, order + 1):
             context = T.mix(t[at - i] + k * (context + np.uint64(i)))
-        grams, _, place = X.distinct(self.short(T.mix(t[at] + k * context)))
-        contexts = np.zeros(len(grams), np.uint64)
-        contexts[place] = self.short(context)
-        by = np.argsort(contexts, kind="stable")
+        context = self.short(context)
+        names, _, place = X.distinct(T.mix(context ^ T.mix(t[at])))
+        contexts, following = np.zeros(len(names), np.uint64), np.zeros(len(names), np.uint32)
+        contexts[place], following[place] = context, t[at] >> np.uint64(32)
+        by = X.ranks(contexts)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        return at, contexts[by], grams[by], rank[place]
+        return at, contexts[by], following[by], rank[place]
 
     def counts(self, order: int) -> np.ndarray:
         """Occurrences in the chunk's training texts of each distinct n-gram."""
@@ -130,44 +174,53 @@ class _Model:
         return (np.maximum(self.n[order] - less, 0) + strength * parent) / (np.maximum(self.context[order] - less, 0) + strength)
 
 
+def _summed(vals: list[np.ndarray], place: np.ndarray, n: int) -> list[np.ndarray]:
+    """Counts of equal keys together."""
+    return [np.bincount(place, v, n).astype(np.uint64) for v in vals]
+
+
 def _total(table: pa.Table, bits: int) -> pa.Table:
     """Bucket step: global counts of each chunk's n-grams; for words also a row (-1) with how many and how often."""
-    chunk, keys, lens, vals = X.gathered(table)
-    counts = np.concatenate([X.unpack(v[0], n, np.uint32) for v, n in zip(vals, lens)]).astype(np.float64)
+    chunk, keys, lens, counts = X.gathered(table)
     names, _, place = X.distinct(keys)
-    sums = np.bincount(place, counts, len(names)).astype(np.uint64)
+    (sums,) = _summed(counts, place, len(names))
     bucket = table.column("bucket")[0].as_py()
-    back = sums[place]
-    at = np.concatenate([[0], np.cumsum(lens)])
-    found = [(c, bucket, X.pack(back[at[i] : at[i + 1]])) for i, c in enumerate(chunk)]
+    found = X.replies(chunk, bucket, lens, [sums[place]])
     if bucket >> bits == WORD:
         found.append((-1, bucket, f"{int((sums > 0).sum())},{int(sums.sum())}".encode()))
     return X.rows(found, X.REPLY_ARROW)
 
 
-def _decide(table: pa.Table) -> pa.Table:
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Integers of either sign as unsigned ones, small for small."""
+    return ((x << 1) ^ (x >> 63)).view(np.uint64)
+
+
+def _unsigned(x: np.ndarray) -> np.ndarray:
+    x = x.view(np.int64)
+    return (x >> 1 & np.int64(2**63 - 1)) ^ -(x & 1)
+
+
+def _gained(vals: list[np.ndarray], place: np.ndarray, n: int) -> list[np.ndarray]:
+    """Left-out sums of equal contexts together."""
+    return [_signed(np.bincount(place, _unsigned(v), n).astype(np.int64)) for v in vals]
+
+
+def _decide(table: pa.Table, unit: float) -> pa.Table:
     """Bucket step: 0 for a context that isn't kept, else 1 + the place of its strength."""
     chunk, keys, lens, vals = X.gathered(table)
     names, _, place = X.distinct(keys)
-    gains = []
-    for s in range(len(STRENGTHS)):
-        gain = np.concatenate([np.frombuffer(v[s], np.float32) for v in vals]).astype(float)
-        gains.append(np.bincount(place, gain, len(names)))
-    gains = np.array(gains)
+    gains = np.array([_unsigned(g) * unit for g in _gained(vals, place, len(names))])
     choice = np.where(gains.max(axis=0) >= LEAST_GAIN, gains.argmax(axis=0) + 1, 0).astype(np.uint8)[place]
-    bucket = table.column("bucket")[0].as_py()
-    at = np.concatenate([[0], np.cumsum(lens)])
-    return X.rows([(c, bucket, choice[at[i] : at[i + 1]].tobytes()) for i, c in enumerate(chunk)], X.REPLY_ARROW)
+    return X.rows(X.replies(chunk, table.column("bucket")[0].as_py(), lens, [choice]), X.REPLY_ARROW)
 
 
-def _decide_level(table: pa.Table) -> pa.Table:
+def _decide_level(table: pa.Table, precision) -> pa.Table:
     """Bucket step of a level: for each n-gram of a chunk its context's decision, as _decide gives it, and for kept
     ones the counts of context and n-gram. A row (-1) says that a context is kept."""
-    chunk, contexts, lens, vals = X.gathered(table)
-    grams = np.concatenate([X.unpack(v[0], n) for v, n in zip(vals, lens)])
-    counts = np.concatenate([X.unpack(v[1], n, np.uint32) for v, n in zip(vals, lens)]).astype(np.float64)
-    parent = np.concatenate([X.unpack(v[2], n, np.uint64).view(np.float64) for v, n in zip(vals, lens)])
-    names, _, gram = X.distinct(grams)
+    chunk, contexts, lens, (following, counts, parent) = X.gathered(table)
+    parent = parent.view(precision).astype(np.float64)
+    names, _, gram = X.distinct(T.mix(contexts ^ T.mix(following.astype(np.uint64))))
     _, _, context = X.distinct(contexts)
     n, total = np.bincount(gram, counts), np.bincount(context, counts)
     p, own = np.zeros(len(names)), np.zeros(len(names), np.int64)
@@ -179,55 +232,38 @@ def _decide_level(table: pa.Table) -> pa.Table:
     gains = np.array(gains)
     kept = (gains.max(axis=0) >= LEAST_GAIN) & (total >= LEAST_COUNT)
     choice = np.where(kept, gains.argmax(axis=0) + 1, 0).astype(np.uint8)[context]
-    n, total = n[gram].astype(np.uint64), total[context].astype(np.uint64)
+    known = choice > 0
+    arrays = [choice, np.where(known, total[context], 0).astype(np.uint64), np.where(known, n[gram], 0).astype(np.uint64)]
     bucket = table.column("bucket")[0].as_py()
-    at, found = np.concatenate([[0], np.cumsum(lens)]), [(-1, bucket, b"")] if kept.any() else []
-    for i, c in enumerate(chunk):
-        x = slice(at[i], at[i + 1])
-        own = choice[x] > 0
-        raw = [choice[x].tobytes(), X.pack(total[x][own]), X.pack(n[x][own])]
-        found.append((c, bucket, b"".join(len(r).to_bytes(4, "little") + r for r in raw)))
-    return X.rows(found, X.REPLY_ARROW)
-
-
-def _read_level(raw: bytes, n: int) -> np.ndarray:
-    """Rows (choice, count of the context, count of the n-gram)."""
-    choice, total, held = X.parts(raw)
-    out = np.zeros((3, n))
-    out[0] = np.frombuffer(choice, np.uint8)
-    own = out[0] > 0
-    out[1, own], out[2, own] = X.unpack(total, own.sum()), X.unpack(held, own.sum())
-    return out
+    return X.rows(X.replies(chunk, bucket, lens, arrays) + ([(-1, bucket, b"")] if kept.any() else []), X.REPLY_ARROW)
 
 
-def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | None = 2) -> DataFrame:
+def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | None = None, exact: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
-    longest: words of a context at most, two or more; None grows the tree until no context pays."""
-    spark = docs.sparkSession
+    longest: words of a context at most, two or more; None grows the tree until no context pays. exact: names of
+    64 bits, and sums and probabilities in messages without loss, at about twice the traffic."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = X.measure(docs)
-    dealt = X.dealt(docs, total, chunk_bytes=CHUNK_BYTES)
-    n_chunks = max(1, math.ceil(total / CHUNK_BYTES))
-    bits = X.bucket_bits(total // 3)
-    name_bits = min(64, max(40, -(-(math.ceil(math.log2(max(2, total // 6))) + 13) // 8) * 8))
-
-    def load(table: pa.Table) -> _Chunk:
-        return _Chunk(table, name_bits, mod, rest)
-
-    def send(table: pa.Table) -> pa.Table:
-        c, chunk = load(table), table.column("chunk")[0].as_py()
-        return X.rows([r for o in (WORD, PAIR) for r in X.send(chunk, c.grams[o][1], [c.counts(o)], bits, o)], X.SENT_ARROW)
+    all_bits = X.bucket_bits(total // 8)
+    bits = X.top(all_bits)
+    name_bits = 64 if exact else min(64, math.ceil(math.log2(max(2, total // 6))) + 18)
+    unit, precision = (EXACT_UNIT, EXACT_PARENT) if exact else (UNIT, PARENT)
+    packed = written(docs.mapInArrow(_chunked, CHUNK))
+
+    def load(table: pa.Table, grams: bool = True) -> _Chunk:
+        return _Chunk(table, name_bits, mod, rest, grams)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                table = pa.Table.from_batches([batch.slice(i, 1)])
+                c, chunk = load(table), table.column("chunk")[0].as_py()
+                for o in (WORD, PAIR):
+                    yield from X.rows(X.send(chunk, c.grams[o][1], [c.counts(o)], bits, o), X.SENT_ARROW).to_batches()
 
     def counted_at(c: _Chunk, replies: pa.Table, order: int) -> np.ndarray:
-        got = X.answers(replies, c.grams[order][1], bits, X.unpack, order)
-        return c.spread(order, np.concatenate(got) if got else np.zeros(0, np.uint64))
-
-    def send_triples(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return X.rows([], X.SENT_ARROW)
-        c, chunk = load(table), table.column("chunk")[0].as_py()
-        c.grow(counted_at(c, replies, PAIR))
-        return X.rows(X.send(chunk, c.grams[TRIPLE][1], [c.counts(TRIPLE)], bits, TRIPLE), X.SENT_ARROW)
+        got = X.answers(replies, c.grams[order][1], bits, order)
+        return c.spread(order, got[0] if got else np.zeros(0, np.uint64))
 
     def totals(replies: pa.Table) -> list[int]:
         seen = replies.filter(pa.array([b == -1 for b in replies.column("bucket").to_pylist()]))
@@ -248,118 +284,149 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | No
 
     def asked(c: _Chunk, m: _Model, order: int):
         at, named = contexts(c, m, order)
-        names, place = np.unique(c.short(c.grams[order - 1][1][named[at]]), return_inverse=True)
+        names, _, place = X.distinct(c.short(c.grams[order - 1][1][named[at]]))
         return at, names, place
 
-    def gains(c: _Chunk, m: _Model):
-        """For both orders: sorted context names and the left-out sums for each strength."""
-        base = m.next(1, m.root, STRENGTHS[0], True)
-        parent = (None, m.root, np.where(m.context[1] >= LEAST_COUNT, base, m.root))
-        for order in (1, 2):
-            at, keys, place = asked(c, m, order)
-            use = c.train[at]
-            sums = []
-            for s in STRENGTHS:
-                ratio = np.log(m.next(order, parent[order], s, True)[at] / parent[order][at])
-                sums.append(np.bincount(place[use], ratio[use], len(keys)).astype(np.float32))
-            yield order, keys, sums
+    def gains(c: _Chunk, m: _Model, order: int, parent: np.ndarray, chunk: int) -> list[tuple]:
+        """Rows with the left-out sums of contexts for each strength; parent: left-out probabilities in the parent."""
+        at, keys, place = asked(c, m, order)
+        use, sums = c.train[at], []
+        for s in STRENGTHS:
+            ratio = np.log(m.next(order, parent, s, True)[at] / parent[at])
+            sums.append(_signed(np.rint(np.bincount(place[use], ratio[use], len(keys)) / unit).astype(np.int64)))
+        return X.send(chunk, keys, sums, bits, 3 + order)
+
+    def send_triples(table: pa.Table, replies: pa.Table) -> pa.Table:
+        """Triples to count, and the sums of contexts of one word."""
+        c, chunk = load(table), table.column("chunk")[0].as_py()
+        n = [counted_at(c, replies, o) for o in (WORD, PAIR)]
+        c.grow(n[PAIR])
+        m = _Model(c, [*n, np.zeros(len(c.tokens))], *totals(replies))
+        return X.rows(X.send(chunk, c.grams[TRIPLE][1], [c.counts(TRIPLE)], bits, TRIPLE) + gains(c, m, 1, m.root, chunk), X.SENT_ARROW)
 
     def send_gains(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return X.rows([], X.SENT_ARROW)
         c, chunk = load(table), table.column("chunk")[0].as_py()
-        found = []
-        for order, keys, sums in gains(c, model(c, replies)):
-            cut, kind = X.cuts(keys, bits), 3 + order
-            for b in np.flatnonzero(np.diff(cut)):
-                lo, hi = cut[b], cut[b + 1]
-                raw = [s[lo:hi].tobytes() for s in sums]
-                found.append((chunk, (kind << bits) + int(b), X.pack_keys(keys[lo:hi]), b"".join(len(r).to_bytes(4, "little") + r for r in raw)))
-        return X.rows(found, X.SENT_ARROW)
+        m = model(c, replies)
+        _, q, _ = walked(c, m, replies, 1)
+        return X.rows(gains(c, m, 2, q, chunk), X.SENT_ARROW)
 
     def walked(c: _Chunk, m: _Model, replies: pa.Table, deepest: int):
-        """Probabilities at every token by the kept contexts of up to deepest words, the same with the token left
-        out, and the tokens whose context of deepest words is kept."""
-        p, q, strengths = m.root, m.root, np.array([0.0, *STRENGTHS])
-        for order in (1, 2):
+        """For contexts of up to deepest words (two at most): probabilities at every token, the same with the token
+        left out, and the choices."""
+        p, q, strengths, choices = m.root, m.root, np.array([0.0, *STRENGTHS]), []
+        for order in range(1, deepest + 1):
             at, keys, place = asked(c, m, order)
-            got = X.answers(replies, keys, bits, lambda raw, n: np.frombuffer(raw, np.uint8), 3 + order)
+            got = X.answers(replies, keys, bits, 3 + order)
             choice = np.zeros(len(c.tokens), np.uint8)
             if got:
-                choice[at] = np.concatenate(got)[place]
+                choice[at] = got[0][place]
             strength = np.maximum(strengths[choice], 1e-9)
             p = np.where(choice > 0, m.next(order, p, strength), p)
             q = np.where(choice > 0, m.next(order, q, strength, True), q)
-        active = np.flatnonzero(choice > 0)
+            choices.append(choice)
+        return p, q, choices
+
+    def settle(table: pa.Table, replies: pa.Table) -> pa.Table:
+        """A chunk's sums over tokens that no longer context can change, and the counts at the others."""
+        c, chunk = load(table), table.column("chunk")[0].as_py()
+        m = model(c, replies)
+        p, _, (one, two) = walked(c, m, replies, 2)
+        n, active = len(c.ids), np.flatnonzero(two)
+        still = two == 0
+        sums = [np.bincount(c.doc, m.n[0] > 0, n), np.bincount(c.doc, np.log10(m.root), n), np.bincount(c.doc[still], np.log10(p[still]), n)]
+        held = [m.n[0], m.n[1], m.n[2], m.context[1], m.context[2], one, two]
+        raw = [np.array([*totals(replies), len(active)], np.int64).tobytes(), *(x.tobytes() for x in sums), X.pack(np.diff(active, prepend=0).astype(np.uint32)), *(X.pack(x[active].astype(np.uint32)) for x in held)]
+        return X.rows([(chunk, SETTLED, b"".join(len(r).to_bytes(4, "little") + r for r in raw))], X.REPLY_ARROW)
+
+    def settled(c: _Chunk, replies: pa.Table, deepest: int):
+        """Of a chunk: its totals and sums, and by the kept contexts of up to deepest words the probabilities at the
+        tokens that were left open, the same with the token left out, and those whose context of deepest words is
+        kept."""
+        row = replies.column("bucket").to_pylist().index(SETTLED)
+        head, *raw = X.parts(X.loosened(replies.column("reply")[row].as_py()))
+        size, vocabulary, n = np.frombuffer(head, np.int64).tolist()
+        at = np.cumsum(X.unpack(raw[3], n, np.uint32), dtype=np.int64)
+        n0, n1, n2, c1, c2, one, two = (X.unpack(x, n, np.uint32).astype(np.float64) for x in raw[4:])
+        strengths = np.array([0.0, *STRENGTHS])
+        p, q = np.zeros(len(c.tokens)), np.zeros(len(c.tokens))
+        p[at] = q[at] = (n0 + PRIOR) / (size + PRIOR * (vocabulary + 1))
+        for held, total, choice in ((n1, c1, one), (n2, c2, two)):
+            kept, s = choice > 0, np.maximum(strengths[choice.astype(int)], 1e-9)
+            p[at] = np.where(kept, (held + s * p[at]) / (total + s), p[at])
+            q[at] = np.where(kept, (np.maximum(held - 1, 0) + s * q[at]) / (np.maximum(total - 1, 0) + s), q[at])
+        active = at
         for order in range(3, deepest + 1):
-            at, keys, _, place = c.extended(active, order)
-            got = X.answers(replies, keys, bits, _read_level, 3 + order)
-            own, total, held = np.concatenate(got, axis=1)[:, place] if got else np.zeros((3, 0))
+            tried, keys, _, place = c.extended(active, order)
+            got = X.answers(replies, keys, bits, 3 + order)
+            own, total, held = (x[place] for x in got) if got else np.zeros((3, 0))
             kept = own > 0
-            active, total, held, strength = at[kept], total[kept], held[kept], strengths[own[kept].astype(int)]
-            p[active] = (held + strength * p[active]) / (total + strength)
-            q[active] = (np.maximum(held - 1, 0) + strength * q[active]) / (np.maximum(total - 1, 0) + strength)
-        return p, q, active
+            active, total, held, s = tried[kept], total[kept], held[kept], strengths[own[kept].astype(int)]
+            p[active] = (held + s * p[active]) / (total + s)
+            q[active] = (np.maximum(held - 1, 0) + s * q[active]) / (np.maximum(total - 1, 0) + s)
+        return size, [np.frombuffer(x) for x in raw[:3]], at, p, q, active
 
     def send_level(order: int):
         def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-            if not table.num_rows:
-                return X.rows([], X.SENT_ARROW)
-            c, chunk = load(table), table.column("chunk")[0].as_py()
-            _, q, active = walked(c, model(c, replies), replies, order - 1)
-            at, keys, grams, place = c.extended(active, order)
-            parent = np.zeros(len(keys))
+            c, chunk = load(table, grams=False), table.column("chunk")[0].as_py()
+            *_, q, active = settled(c, replies, order - 1)
+            at, keys, following, place = c.extended(active, order)
+            parent = np.zeros(len(keys), precision)
             parent[place] = q[at]
             held = np.bincount(place, c.train[at], len(keys)).astype(np.uint32)
-            return X.rows(X.send(chunk, keys, [grams, held, parent], bits, 3 + order), X.SENT_ARROW)
+            return X.rows(X.send(chunk, keys, [following, held, parent.view(f"u{parent.itemsize}")], bits, 3 + order), X.SENT_ARROW)
 
         return run
 
     def finish(table: pa.Table, replies: pa.Table, deepest: int) -> pa.Table:
-        c = load(table)
-        m = model(c, replies)
-        p, _, _ = walked(c, m, replies, deepest)
+        c = load(table, grams=False)
+        size, (known, base, fixed), at, p, _, _ = settled(c, replies, deepest)
         n = len(c.ids)
-        size, _ = totals(replies)
         return pa.table(
             {
-                "doc_id": table.column("doc_id"),
+                "doc_id": pa.array(c.ids, pa.int64()),
                 "held_out": pa.array(c.held),
                 "n_tokens": pa.array(np.diff(c.off), pa.int64()),
-                "n_known": pa.array(np.bincount(c.doc, m.n[0] > 0, n).astype(np.int64)),
+                "n_known": pa.array(known.astype(np.int64)),
                 "train_tokens": pa.array(np.full(n, size), pa.int64()),
-                "base_score": pa.array(np.bincount(c.doc, np.log10(m.root), n)),
-                "score": pa.array(np.bincount(c.doc, np.log10(p), n)),
+                "base_score": pa.array(base),
+                "score": pa.array(fixed + np.bincount(c.doc[at], np.log10(p[at]), n)),
             }
         )
 
-    def total_step(table: pa.Table) -> pa.Table:
-        return _total(table, bits)
+    def judge(table: pa.Table) -> pa.Table:
+        return _total(table, bits) if table.column("bucket")[0].as_py() >> bits <= TRIPLE else _decide(table, unit)
+
+    def judge_level(table: pa.Table) -> pa.Table:
+        return _decide_level(table, precision)
+
+    merges = defaultdict(lambda: None, {WORD: _summed, PAIR: _summed, TRIPLE: _summed, 4: _gained, 5: _gained})
+
+    def step(sent: DataFrame, decide) -> DataFrame:
+        """The replies to what chunks send, written, so that a step's shuffles go when it is done."""
+        return written(X.exchanged(sent, decide, all_bits, merges, notes=True))
+
+    def asking(replies: DataFrame, send) -> DataFrame:
+        return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send, X.SENT)
 
-    counted = dealt.groupBy("chunk").applyInArrow(send, X.SENT).groupBy("bucket").applyInArrow(total_step, X.REPLY)
+    counted = step(packed.mapInArrow(send, X.SENT), judge)
     pairs = F.split(F.decode("reply", "UTF-8"), ",")
     sums = counted.where("chunk = -1").agg(F.sum(pairs[1].cast("long")).alias("size"), F.sum(pairs[0].cast("long")).alias("vocabulary"))
     whole = sums.select(F.encode(F.concat_ws(",", F.coalesce("size", F.lit(0)), F.coalesce("vocabulary", F.lit(0))), "UTF-8"))
-    chunks = spark.range(n_chunks).select(F.col("id").cast("int").alias("chunk"), F.lit(-1).alias("bucket"), whole.scalar().alias("reply"))
-    first = counted.where("chunk >= 0").union(chunks)
-    triples = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_triples, X.SENT).groupBy("bucket").applyInArrow(total_step, X.REPLY)
-    first = first.union(triples)
-    second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_gains, X.SENT).groupBy("bucket").applyInArrow(_decide, X.REPLY)
-
-    replies, deepest = first.union(second), 2
-    if longest is None or longest > 2:
-        replies = written(replies)
+    chunks = packed.select("chunk", F.lit(-1).cast("long").alias("bucket"), whole.scalar().alias("reply"))
+    replies = counted.where("chunk >= 0").union(chunks)
+    early = [counted]
+    for send_more in (send_triples, send_gains):
+        early.append(step(asking(replies, send_more), judge))
+        replies = replies.union(early[-1])
+    replies, deepest = written(packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(settle, X.REPLY)), 2
+    dropped(*early)
     while longest is None or deepest < longest:
-        level = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_level(deepest + 1), X.SENT)
-        level = written(level.groupBy("bucket").applyInArrow(_decide_level, X.REPLY))
-        if not level.where("chunk = -1").limit(1).count():
+        level = step(asking(replies, send_level(deepest + 1)), judge_level)
+        if level.where("chunk = -1").isEmpty():
             break
         replies, deepest = replies.union(level.where("chunk >= 0")), deepest + 1
 
-    def finish_or_none(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:  # a chunk number without documents
-            kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-            return pa.table({n: pa.array([], kinds[t]) for n, t in (x.split() for x in RESULT.split(", "))})
+    def last(table: pa.Table, replies: pa.Table) -> pa.Table:
         return finish(table, replies, deepest)
 
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish_or_none, RESULT)
+    return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(last, RESULT)

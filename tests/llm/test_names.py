@@ -5,6 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from fragmill.llm import _exchange as X
 from fragmill.llm import _text as T
 from fragmill.llm.packing import encoder
 from fragmill.llm.substring import remove_repeated_windows
@@ -62,3 +63,38 @@ def test_names_follow_the_bytes():
     data, _ = T.flat(pa.array([joined]))
     size = np.array([len(w.encode()) for w in words])
     assert (T.span_names(data, at, at + size) == names).all()
+
+
+def test_messages_round_trip():
+    rng = np.random.default_rng(1)
+    for low in (0, 20, 63):
+        keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64) >> np.uint64(low) << np.uint64(low))
+        assert (X.unpack_keys(X.loosened(X.squeezed(X.pack_keys(keys)))) == keys).all()
+    assert len(X.unpack_keys(X.pack_keys(np.zeros(0, np.uint64)))) == 0 and X.loosened(X.squeezed(b"")) == b""
+
+
+def test_relays_change_no_result(spark, monkeypatch):
+    """Beyond TOP_BITS messages go through relays; small sizes make all of them work on a small table."""
+    import random
+
+    from fragmill.llm import suffixtree
+
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(80)]
+    shared = " ".join(rnd.choice(vocab) for _ in range(140))
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(120))) + (" " + shared if i % 7 == 0 else "")) for i in range(150)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    monkeypatch.setattr(suffixtree, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(X, "CHUNK_BYTES", 4000)
+
+    def results():
+        ops = (remove_repeated_windows(df, 10), remove_repeated_bytes(df, 64), suffixtree.score_texts(df))
+        return [sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in op.collect()) for op in ops]
+
+    want = results()
+    monkeypatch.setattr(X, "BUCKET_KEYS", 200)
+    several = results()
+    monkeypatch.setattr(X, "TOP_BITS", 2)
+    monkeypatch.setattr(X, "RELAY_KEYS", 700)
+    assert X.bucket_bits(sum(len(t) for _, t in rows) // 8) > 2
+    assert want == several == results()

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from fragmill.llm import suffixtree
-from fragmill.llm.suffixtree import GROW_COUNT, LEAST_COUNT, LEAST_GAIN, STRENGTHS, held_out, score_texts
+from fragmill.llm.suffixtree import LEAST_COUNT, LEAST_GAIN, STRENGTHS, held_out, score_texts
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -23,21 +23,22 @@ def brute(rows):
         return (max(n[len(gram) - 1][gram] - less, 0) + m * parent) / (max(c - less, 0) + m)
 
     def loo_parent(gram):
-        if len(gram) == 2 or n[0][gram[1:2]] < LEAST_COUNT:
+        if len(gram) == 2 or gram[1:2] not in kept:
             return root(gram[-1])
-        return nxt(gram[1:], root(gram[-1]), STRENGTHS[0], 1)
+        return nxt(gram[1:], root(gram[-1]), kept[gram[1:2]], 1)
 
-    gains = {}
-    for w in train:
-        for o in (1, 2):
+    kept = {}
+    for o in (1, 2):
+        gains = {}
+        for w in train:
             for j in range(o, len(w)):
                 g = tuple(w[j - o : j + 1])
-                if n[o - 1][g[:-1]] >= LEAST_COUNT and (o == 1 or n[0][g[1:2]] >= GROW_COUNT):
+                if n[o - 1][g[:-1]] >= LEAST_COUNT:
                     p = loo_parent(g)
                     x = gains.setdefault(g[:-1], [0.0] * len(STRENGTHS))
                     for k, m in enumerate(STRENGTHS):
                         x[k] += math.log(nxt(g, p, m, 1) / p)
-    kept = {c: STRENGTHS[x.index(max(x))] for c, x in gains.items() if max(x) >= LEAST_GAIN}
+        kept |= {c: STRENGTHS[x.index(max(x))] for c, x in gains.items() if max(x) >= LEAST_GAIN}
     out = {}
     for i, w in docs:
         base = score = 0.0
@@ -72,7 +73,7 @@ def test_against_brute_force(spark, monkeypatch):
     want, kept = brute(rows)
     assert any(len(c) == 2 for c in kept) and any(len(c) == 1 for c in kept)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as chunk", "2 as score")
-    got = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)) for r in score_texts(df).collect()}
+    got = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)) for r in score_texts(df, longest=2, exact=True).collect()}
     assert got == want
     held = [i for i, _ in rows if held_out(i)]
     assert sum(want[i][5] for i in held) > sum(want[i][4] for i in held)
@@ -91,3 +92,11 @@ def test_empty_and_untrained(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = score_texts(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows] == [(True, 3, 0, 0, 0.0)] * 2
+
+
+def test_messages_without_loss_change_little(spark, monkeypatch):
+    """The default's units and widths against the exact setting, over contexts of any length."""
+    monkeypatch.setattr(suffixtree, "CHUNK_BYTES", 3000)
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    cut, exact = ({r.doc_id: (r.score, r.base_score) for r in score_texts(df, exact=e).collect()} for e in (False, True))
+    assert all(abs(cut[i][0] - exact[i][0]) <= 0.01 * abs(exact[i][0]) + 1e-9 and abs(cut[i][1] - exact[i][1]) < 1e-6 for i in exact)
