@@ -8,9 +8,9 @@ sub-sketches by digest, each sized for its share, a failing one again with twice
 positions. What is still undecided then (about once in a billion sub-sketches) is compared directly.
 Likeness is 2 * common / (digests of one + digests of the other); 1 for two texts without digests.
 
-The next document in descending doc_id comes from a window within ranges of ids of about equal size. The
-first row of each range is also dealt to the range before it, so that one shuffle of the texts is enough
-and no window covers the whole table.
+The next document in descending doc_id comes from a window within ranges of ids of about equal size; an id (or the
+lack of one) that would fill several ranges is cut by its texts' hashes. The first row of each range is also dealt to the
+range before it, so that one shuffle of the texts is enough and no window covers the whole table.
 
 Defined results: null counts as empty text; rows without doc_id come last; rows that share an id follow
 each other in the order of their texts' hash; a single row is followed by itself.
@@ -19,6 +19,8 @@ each other in the order of their texts' hash; a single row is followed by itself
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,29 +118,45 @@ def _range_of(key: Column, splits: list[int]) -> Column:
     top = F.size(F.filter(F.expr(numbers([r[-1] for r in rows])), lambda x: x < key))
     grid = F.expr(f"transform(split('{';'.join(','.join(map(str, r)) for r in rows)}', ';'), r -> cast(split(r, ',') as array<bigint>))")
     row = F.coalesce(F.try_element_at(grid, top + 1), F.expr("cast(array() as array<bigint>)"))
-    return top * step + F.size(F.filter(row, lambda x: x < key))
+    return F.least(top * step, F.lit(len(splits))) + F.size(F.filter(row, lambda x: x < key))
 
 
 def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, text and the ``next`` text in descending doc_id (after the last: the first), dealt by range."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    key, own = F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text")
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = min(1 << 20, max(1, math.ceil(total / range_bytes)))
     at = [i / n for i in range(1, n)]
-    splits = docs.agg(F.percentile_approx(key, at, max(10_000, 10 * n))).first()[0] if at else []
-    ranged = docs.withColumn("range", _range_of(key, sorted(set(splits or [])))).withColumn("key", key)
-    heads = {r[0]: r[1] for r in ranged.groupBy("range").agg(F.max("key")).collect()}
-    order = sorted(heads, reverse=True)
-    before = {r: order[i - 1] for i, r in enumerate(order)}  # the first range's head follows the last row of all
+    found = sorted((docs.agg(F.percentile_approx(key, at, max(10_000, 10 * n))).first()[0] or []) if at else [])
+    held = Counter(found)
+    splits = sorted(held)
+    # parts of a range of ids (splits[i - 1], splits[i]] in the order of documents: an id that fills several ranges is cut
+    # by its texts' hashes and comes first, the others follow
+    cut = [held[v] if held[v] > 1 else 0 for v in splits] + [0]
+    before = [0, *accumulate(c + 1 for c in reversed(cut[1:]))][::-1]
+
+    def numbers(x: list[int], kind: str = "bigint") -> Column:
+        return F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)")
+
+    base = F.col("base") + 1
+    parts = F.element_at(numbers(cut), base)
+    hot = (parts > 0) & (F.element_at(numbers([*splits, 0]), base) == F.col("key"))
+    part = F.when(hot, F.least(F.floor((F.col("hash").cast("double") + 2.0**63) / 2.0**64 * parts), parts - 1)).otherwise(parts)
+    ranged = docs.withColumn("key", key).withColumn("hash", own).withColumn("base", _range_of(F.col("key"), splits))
+    ranged = ranged.withColumn("range", (F.element_at(numbers(before), base) + part).cast("int")).drop("base")
+    heads = {r[0]: r[1] for r in ranged.groupBy("range").agg(F.min(F.struct(F.bitwise_not("key").alias("k"), F.col("hash").alias("h")))).collect()}
+    order = sorted(heads)
     if not order:
         return ranged.select("range", "doc_id", "text", F.lit("").alias("next"), F.lit(False).alias("ghost"))
-    size = max(order) + 1
-    head = F.expr(f"cast(split('{','.join(str(heads.get(i, 0)) for i in range(size))}', ',') as array<bigint>)")
-    goes = F.expr(f"cast(split('{','.join(str(before.get(i, 0)) for i in range(size))}', ',') as array<int>)")
-    own = F.struct(F.col("range").alias("r"), F.lit(False).alias("ghost"))
-    also = F.struct(F.element_at(goes, F.col("range") + 1).alias("r"), F.lit(True).alias("ghost"))
-    places = F.when(F.element_at(head, F.col("range") + 1) == F.col("key"), F.array(own, also)).otherwise(F.array(own))
+    ahead = {r: order[i - 1] for i, r in enumerate(order)}  # the first range's head follows the last row of all
+    size = order[-1] + 1
+    place = F.col("range") + 1
+    first = [F.element_at(numbers([heads[i][j] if i in heads else 0 for i in range(size)]), place) for j in range(2)]
+    goes = F.element_at(numbers([ahead.get(i, 0) for i in range(size)], "int"), place)
+    stays = F.struct(F.col("range").alias("r"), F.lit(False).alias("ghost"))
+    also = F.struct(goes.alias("r"), F.lit(True).alias("ghost"))
+    places = F.when((first[0] == F.bitwise_not("key")) & (first[1] == F.col("hash")), F.array(stays, also)).otherwise(F.array(stays))
     dealt = ranged.withColumn("to", F.explode(places)).select(F.col("to.r").alias("range"), F.col("to.ghost").alias("ghost"), "key", "doc_id", "text")
     return dealt.repartition("range")
 

@@ -54,3 +54,22 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a."), (2, "b.")], "doc_id long, text string")
     plan = fingerprints(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.split("== Physical Plan ==")[1])
+
+
+def test_a_hot_id_is_cut(spark, monkeypatch):
+    """A third of the rows without an id, and an id with many texts: spread over ranges, in the defined order."""
+    monkeypatch.setattr(fingerprint.with_next, "__defaults__", (1500,))
+    rnd = random.Random(6)
+    text = lambda: " ".join(f"w{rnd.randrange(99)}." for _ in range(rnd.randrange(1, 25)))
+    rows = [(None, text()) for _ in range(120)] + [(77, text()) for _ in range(80)] + [(i, text()) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt = fingerprint.with_next(df)
+    sizes = [r["count"] for r in dealt.groupBy("range").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 70
+    hashed = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()}
+    ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), hashed[r], r[1]))
+    want = []
+    for (i, t), (_, nxt) in zip(ordered, ordered[1:] + ordered[:1]):
+        k = len(t) // 2
+        want.append((str(i), hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in fingerprints(df).collect()) == sorted(want)
