@@ -13,6 +13,20 @@ gone AS (SELECT rid, count(*) AS n FROM cov GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.rid = kept.rid LEFT JOIN gone ON d.rid = gone.rid"""
 
+OP2 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT rid, i, md5_number(b[i:i + 399]) AS k FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+dup AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM win WHERE k IN (SELECT k FROM dup)),
+isl AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS n FROM hit),
+run AS (SELECT rid, i, sum(n) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM isl),
+sp AS (SELECT rid, min(i) AS s, max(i) + 399 AS e FROM run GROUP BY rid, g),
+gone AS (SELECT rid, count(*) AS n_spans, sum(e - s + 1) AS n_removed FROM sp GROUP BY rid),
+pieces AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) + 1 AS a, s - 1 AS z FROM sp UNION ALL SELECT sp.rid, max(e) + 1, any_value(octet_length(b)) FROM sp JOIN d ON sp.rid = d.rid GROUP BY sp.rid),
+kept AS (SELECT p.rid, string_agg(hex(b[a:z]), '' ORDER BY a) AS h FROM pieces p JOIN d ON p.rid = d.rid WHERE z >= a GROUP BY p.rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN gone ON d.rid = gone.rid LEFT JOIN kept ON d.rid = kept.rid"""
+
 OP4 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
