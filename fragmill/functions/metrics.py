@@ -101,3 +101,14 @@ def decoder(dtype: str):
         return raw.map(one)
 
     return decode
+
+
+def decoded(tensors: DataFrame, read) -> DataFrame:
+    """name, values of tensors (name, dtype, path, start, stop) of the decodable types, read and decoded. read(requests):
+    see sources.read_spans."""
+    got = read(tensors.select("path", "start", "stop").distinct()).select("path", "start", "stop", "content")
+    rows = tensors.join(got, ["path", "start", "stop"])
+    values = F.lit(None).cast("array<double>")
+    for dtype in ("F16", "BF16", "I16", "I32", "F32"):
+        values = F.when(F.col("dtype") == dtype, decoder(dtype)(F.when(F.col("dtype") == dtype, F.col("content")))).otherwise(values)
+    return rows.select("name", values.alias("values"))

@@ -94,3 +94,15 @@ def completed_entries(entries: DataFrame, files: DataFrame) -> DataFrame:
 def experts_digest(experts: DataFrame, by: list[str]) -> DataFrame:
     pairs = F.array_sort(F.collect_list(F.struct("expert", F.coalesce("sha256", F.lit("")).alias("sha256"))))
     return experts.groupBy(*by).agg(F.sha2(F.to_json(pairs), 256).alias("experts_digest"))
+
+
+def proven_headers(files: DataFrame, read) -> DataFrame:
+    """path, method: how each file's header is proven, from bytes read now. files(path, size, body_offset, requested,
+    attested, whole): the attested digests of the header and of the whole file. Whole files are only read where the
+    header's digest can't decide. read(requests): see sources.read_spans, without content."""
+    head = read(files.select("path", F.lit(0).alias("start"), F.col("body_offset").alias("stop"))).select("path", F.col("sha256").alias("got"))
+    both = files.join(head, "path", "left")
+    needs = (F.col("requested") == "full") | ((F.col("requested") == "auto") & F.col("attested").isNull())
+    full = read(files.where(needs).select("path", F.lit(0).alias("start"), F.col("size").alias("stop"))).select("path", F.col("sha256").alias("got_whole"))
+    both = both.join(full, "path", "left")
+    return both.select("path", header_method(F.col("requested"), F.col("attested"), F.col("got"), F.col("whole"), F.col("got_whole")).alias("method"))

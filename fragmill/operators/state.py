@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -77,3 +79,17 @@ def index_for(rows: DataFrame, k: int) -> DataFrame:
 def merge_manifest(existing: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Rows per tier: the rebuilt ones, and existing ones of tiers that weren't rebuilt."""
     return rebuilt.unionByName(existing.join(rebuilt.select("k"), "k", "left_anti"))
+
+
+def load_state(text: str | None, schema: str, strict: bool) -> dict:
+    """A resume state from its JSON text: nothing or unreadable text is a fresh state, unless strict; another schema is an
+    error when strict, else a fresh state."""
+    try:
+        state = json.loads(text) if text else {"schema": schema, "files": {}}
+    except ValueError:
+        state = None
+    if isinstance(state, dict) and state.get("schema") == schema:
+        return state
+    if strict:
+        raise ValueError("a state of another schema, or unreadable")
+    return {"schema": schema, "files": {}}

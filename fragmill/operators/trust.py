@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -72,3 +74,16 @@ def attested_digests(verified: DataFrame) -> DataFrame:
 def summary(verified: DataFrame) -> DataFrame:
     """Counts by reason."""
     return verified.groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+def discover_root(explicit: str | None, environment: str | None, candidates: list[str], name: str = "FINGERPRINTS") -> str | None:
+    """Where the trust root is: the explicit path, else the environment's, else the first candidate that exists (a
+    checkout, a packaged snapshot); None without any. A path that was asked for and isn't there is fatal."""
+    asked = explicit or environment
+    for path in [asked] if asked else candidates:
+        path = os.path.join(path, name) if os.path.isdir(path) else path
+        if os.path.exists(path):
+            return path
+    if asked:
+        raise FileNotFoundError(f"trust root {asked}")
+    return None

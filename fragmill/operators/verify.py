@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from fragmill.functions.digest import group_digest
 from fragmill.operators.checks import digest_verdicts
 
 
@@ -80,3 +81,19 @@ def report_markdown(rows: DataFrame) -> str:
     lines = ["| check | verdict | rows |", "| - | - | - |"]
     lines += [f"| {r.check} | {r.verdict} | {r.rows} |" for r in report(rows).orderBy("check", "verdict").collect()]
     return "\n".join(lines)
+
+
+def fresh_digests(tensors: DataFrame, read) -> DataFrame:
+    """name, sha256 of tensors (name, path, start, stop) as their bytes are read now. read(requests): see
+    sources.read_spans, without content."""
+    got = read(tensors.select("path", "start", "stop").distinct()).select("path", "start", "stop", "sha256")
+    return tensors.join(got, ["path", "start", "stop"], "left").select("name", "sha256")
+
+
+def reassembled_digests(pieces: DataFrame, read) -> DataFrame:
+    """file, digest of files put together from pieces (file, place, path, start, stop) in order of place, as one stream
+    a file; nothing is written. A piece that can't be read is an error."""
+    got = read(pieces.select("path", "start", "stop").distinct()).select("path", "start", "stop", "content")
+    rows = pieces.join(got, ["path", "start", "stop"], "left")
+    missing = F.raise_error(F.concat(F.lit("no bytes of "), F.col("path"))).cast("binary")
+    return group_digest(rows.withColumn("content", F.coalesce("content", missing)), ["file"], "place", "content")

@@ -226,3 +226,32 @@ def test_evidence_is_copied(spark, tmp_path):
     got = fetch.copy_files(fetch.evidence_copies(pieces, locators, covered), {"s": str(source)}, str(out)).collect()
     assert [(r.target, r["size"]) for r in got] == [("attestations/o%2Fr@x:/layer-003.k4.jsonl", 3)]
     assert (out / got[0].target).read_bytes() == b"{}\n"
+
+
+def test_proofs_from_fresh_bytes(spark, tmp_path):
+    import numpy as np
+
+    from fragmill.functions import metrics
+    from fragmill.operators import evidence, state, trust, verify
+
+    a, b = np.arange(5, dtype="<f4"), np.array([1.5, -2], "<f2")
+    path = str(tmp_path / "a.safetensors")
+    made = safetensors.write_container(path, [("x", "F32", [5], a.tobytes()), ("y", "F16", [2], b.tobytes())])
+    h = safetensors.headers(spark, [path])
+    t = h.select("name", "dtype", "path", (F.col("body_offset") + F.col("lo")).alias("start"), (F.col("body_offset") + F.col("hi")).alias("stop"))
+    assert {r.name: r["values"] for r in metrics.decoded(t, safetensors.read_spans).collect()} == {"x": a.tolist(), "y": b.tolist()}
+    digests = lambda rq: safetensors.read_spans(rq, content=False)
+    assert {r.name: r.sha256 for r in verify.fresh_digests(t, digests).collect()} == made["tensors"]
+    pieces = spark.createDataFrame([("f", 0, path, 0, made["body_offset"]), ("f", 1, path, made["body_offset"], made["size"])], "file string, place int, path string, start long, stop long")
+    assert verify.reassembled_digests(pieces, safetensors.read_spans).first().digest == made["sha256"]
+    files = [("auto", made["header_sha256"], None, "digest"), ("auto", None, made["sha256"], "full"), ("digest", "0" * 64, made["sha256"], "refused"), ("full", None, "0" * 64, "refused"), ("unsafe", None, None, "unsafe")]
+    for requested, attested, whole, want in files:
+        df = spark.createDataFrame([(path, made["size"], made["body_offset"], requested, attested, whole)], "path string, size long, body_offset long, requested string, attested string, whole string")
+        assert evidence.proven_headers(df, digests).first().method == want
+    assert state.load_state(None, "s", True) == state.load_state("{", "s", False) == {"schema": "s", "files": {}}
+    with pytest.raises(ValueError):
+        state.load_state('{"schema": "t"}', "s", True)
+    (tmp_path / "FINGERPRINTS").write_text("")
+    assert trust.discover_root(None, None, ["/nowhere", str(tmp_path)]).endswith("FINGERPRINTS") and trust.discover_root(None, None, []) is None
+    with pytest.raises(FileNotFoundError):
+        trust.discover_root("/nowhere", None, [str(tmp_path)])
