@@ -19,7 +19,7 @@ _rng = np.random.default_rng(0x5EED)
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 LONG_WORD = 64
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fragmill.llm._tables import bounded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    from fragmill.llm.sql import OP1, OP4
+    from fragmill.llm.sql import OP1, OP2, OP4
 
-    return {"op1_substring_dedup": OP1, "op4_near_dedup": OP4}
+    return {"op1_substring_dedup": OP1, "op2_suffix_dedup": OP2, "op4_near_dedup": OP4}
