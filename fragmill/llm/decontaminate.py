@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from fragmill.llm import _features as X
 from fragmill.llm import _text as T
+from fragmill.llm._tables import unused, written
 
 WIDTH, LEAST_WORDS, LEAST_LITERALS = 8, 4, 3
 LEAST_COVER, LEAST_CONSISTENT = 0.5, 0.75
-MOST_WINDOWS = 2_000_000
+MOST_WINDOWS, MOST_LEAKED = 2_000_000, 1_000_000
 BAND = 8
 LITERAL = 2  # the reading in which words stand as they are
 UNITS = "mm cm m km inch inches ft feet mile miles yard yards g kg mg lb lbs oz ton tons ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent $ € £ dollar dollars euro euros pound pounds cent cents mph kmh degrees °c °f kb mb gb".split()
@@ -138,7 +139,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, most_windows: int) -> DataFra
     """key (of a text), item_id and figures of the best alignment as a struct b: the items found in texts."""
     docs = docs.select(_key(docs).alias("id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sought = items.mapInArrow(_item_windows, "id long, " + WINDOW).cache()
+    sought = written(items.mapInArrow(_item_windows, "id long, " + WINDOW))
     few = sought.count() <= most_windows
     known = None
     if few:
@@ -159,6 +160,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, most_windows: int) -> DataFra
     right = F.broadcast(right) if few else right
     met = docs.mapInArrow(run, "id long, " + WINDOW).drop("width").withColumnRenamed("id", "key").join(right, ["mode", "hash"])
     met = met.select("key", "item_id", "mode", (F.col("at") - F.col("place")).alias("shift"), "place", "n_windows", F.arrays_zip("asked", "slots").alias("pairs"))
+    met = written(met)  # read twice below
     # an alignment is one shift (band 0) or one of two overlapping bands of shifts
     step = F.floor(F.col("shift") / BAND).cast("int")
     lines = F.array(*(F.struct(F.lit(kind).alias("band"), x.alias("line")) for kind, x in ((0, F.col("shift")), (1, step), (1, step - 1))))
@@ -188,6 +190,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = MOST_WINDOW
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows in whose text no item is found, all columns."""
-    found = _judged(docs, benchmark, MOST_WINDOWS).select(F.col("key").alias("leaked")).distinct()
-    return docs.join(found, _key(docs) == F.col("leaked"), "left_anti")
+    """The rows in whose text no item is found, all columns. The texts found are broadcast while they are at most
+    ``MOST_LEAKED`` hashes; beyond, rows are shuffled by the hash of their text."""
+    name = unused(docs, "leaked")
+    found = written(_judged(docs, benchmark, MOST_WINDOWS).select(F.col("key").alias(name)).distinct())
+    if found.count() <= MOST_LEAKED:
+        found = F.broadcast(found)
+    return docs.join(found, _key(docs) == found[name], "left_anti")

@@ -56,3 +56,9 @@ def test_short_items_and_empty_tables(spark):
     assert found(spark, [], [(5, "a b c d e f g h i j")]) == set()
     assert found(spark, [(1, "a b c d e f g h i j")], []) == set()
     assert decontaminate.LEAST_WORDS == 4
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "x " + MORE + " y", 5), (2, "nothing here", 6)], "doc_id long, text string, leaked int")
+    left = without_leaks(docs, spark.createDataFrame([(1, MORE)], "item_id long, text string"))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "nothing here", 6)]
