@@ -24,7 +24,7 @@ sp AS (SELECT rid, min(i) AS s, max(i) + 399 AS e FROM run GROUP BY rid, g),
 gone AS (SELECT rid, count(*) AS n_spans, sum(e - s + 1) AS n_removed FROM sp GROUP BY rid),
 pieces AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) + 1 AS a, s - 1 AS z FROM sp UNION ALL SELECT sp.rid, max(e) + 1, any_value(octet_length(b)) FROM sp JOIN d ON sp.rid = d.rid GROUP BY sp.rid),
 kept AS (SELECT p.rid, string_agg(hex(b[a:z]), '' ORDER BY a) AS h FROM pieces p JOIN d ON p.rid = d.rid WHERE z >= a GROUP BY p.rid)
-SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256, coalesce(n_removed, 0) / greatest(octet_length(b), 1) AS share_removed
 FROM d LEFT JOIN gone ON d.rid = gone.rid LEFT JOIN kept ON d.rid = kept.rid"""
 
 OP4 = f"""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from fragmill.llm import _exchange as X
 from fragmill.llm import _text as T
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, share_removed double"
 RESULT_TEXT = RESULT + ", kept binary, spans array<struct<start:long,end:long>>"
 RUNS, BUCKETS, STRINGS = 0, 1, 2
 
@@ -136,7 +136,7 @@ def _chunk(table: pa.Table, length: int) -> _Chunk:
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text also the remaining bytes and removed spans."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, share_removed (of the bytes); with_text also the remaining bytes and removed spans."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = X.measure(docs)
     all_bits = X.bucket_bits(total // max(1, length // 4) + total // 16)
@@ -195,6 +195,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool =
             "n_removed": pa.array(gone[b] - gone[a], pa.int64()),
             "n_spans": pa.array(spans[b] - spans[a], pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+            "share_removed": pa.array((gone[b] - gone[a]) / np.maximum(b - a, 1)),
         }
         if with_text:
             from fragmill.llm.substring import _runs
