@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm._tables import written
+from fragmill.llm._tables import bounded, dropped, written
 from fragmill.llm.decontaminate import without_leaks
 from fragmill.llm.minhash import without_near_duplicates
 from fragmill.llm.packing import pack
@@ -28,6 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once. Near: five-word sets
     alike to 0.8 or more."""
+    bounded(spark)
     return without_near_duplicates(docs, percent=80)
 
 
@@ -37,7 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked; n_chars follows the new text. No document goes."""
+    """Personal data is masked; n_chars follows the new text. No document goes; columns other than those of documents do."""
+    bounded(spark)
     masked = find_pii(docs, with_text=True, carry=("lang", "source", "n_chars"))
     size = F.when(F.col("masked") == F.col("text"), F.col("n_chars")).otherwise(F.length("masked").cast("long"))
     return masked.withColumn("n_chars", size).withColumn("text", F.col("masked")).select(*COLUMNS)
@@ -45,6 +47,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
+    bounded(spark)
     return pack(docs)
 
 
@@ -61,7 +64,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = first = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if before is not first:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
