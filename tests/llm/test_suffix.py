@@ -17,7 +17,7 @@ def brute(rows, k):
             if count[b[i : i + k]] > 1:
                 gone[i : i + k] = b"\1" * k
         runs = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b)))
-        out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+        out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest(), sum(gone) / max(len(b), 1)))
     return sorted(out, key=str)
 
 
