@@ -107,12 +107,12 @@ def fetch_binding(spark: SparkSession, path: str, binding_schema: str, select_sc
     return experts.union(rows.select(F.explode("c.manifests").alias("provider", "sha256")).select(none.cast("int"), none.cast("int"), "provider", "sha256"))
 
 
-def side_metadata(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """One row: of a source's config the given keys of its tail, its tier bitmap and the digest of its corpus; what
+def side_metadata(spark: SparkSession, folder: str, tail_key: str, keys: list[str]) -> DataFrame:
+    """One row: of a source's config the given keys of its object tail_key, its tier bitmap and the digest of its corpus; what
     isn't there is NULL."""
     text = whole(spark, f"{folder.rstrip('/')}/*.json").withColumn("name", F.substring_index("path", "/", -1))
     one = text.agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(a) for n, a in (("config.json", "c"), ("tier_bitmap.json", "t"), ("calibration_manifest.json", "m"))))
-    tail = F.from_json(F.get_json_object("c", "$.hybrid_tr3_tail"), "map<string,string>")
+    tail = F.from_json(F.get_json_object("c", f"$.{tail_key}"), "map<string,string>")
     return one.select(F.map_filter(tail, lambda k, v: k.isin(keys)).alias("config"), F.from_json("t", "map<string,struct<k:array<int>>>").alias("bitmap"), F.get_json_object("m", "$.corpus_sha256").alias("corpus_sha256"))
 
 

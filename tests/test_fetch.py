@@ -209,9 +209,9 @@ def test_loaders(spark, tmp_path):
         documents.fetch_binding(spark, str(tmp_path / "bad.json"), "b/1", "s/1").collect()
     side = tmp_path / "side"
     side.mkdir()
-    (side / "config.json").write_text(json.dumps({"hybrid_tr3_tail": {"tp": 4, "codebook": "mcg", "x": 1}}))
+    (side / "config.json").write_text(json.dumps({"tail": {"tp": 4, "codebook": "mcg", "x": 1}}))
     (side / "tier_bitmap.json").write_text(json.dumps({"3": {"k": [3, 4]}}))
-    r = documents.side_metadata(spark, str(side), ["tp", "codebook"]).first()
+    r = documents.side_metadata(spark, str(side), "tail", ["tp", "codebook"]).first()
     assert r.config == {"tp": "4", "codebook": "mcg"} and r.bitmap["3"].k == [3, 4] and r.corpus_sha256 is None
 
 
