@@ -48,7 +48,7 @@ STRENGTHS = (0.5, 4.0, 32.0)
 LEAST_GAIN, LEAST_COUNT = 3.0, 2
 UNIT, PARENT = 2.0**-8, np.float32  # of left-out sums in messages (nats), of left-out probabilities
 EXACT_UNIT, EXACT_PARENT = 2.0**-30, np.float64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 PRIOR = 0.1
 WORD, PAIR, TRIPLE = 0, 1, 2
 SETTLED = -2  # the bucket of a row with what a chunk knows of its own tokens
@@ -59,6 +59,14 @@ def held_out(doc_id, mod: int = 10, rest: int = 0) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod == rest
 
 
+def _differences(names: np.ndarray) -> bytes:
+    return len(names).to_bytes(4, "little") + X.squeezed(X.pack(np.diff(names, prepend=np.uint64(0))))
+
+
+def _summed_up(raw: bytes) -> np.ndarray:
+    return np.cumsum(X.unpack(X.loosened(raw[4:]), int.from_bytes(raw[:4], "little")), dtype=np.uint64)
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of CHUNK: runs of whole texts of a partition, tokenised."""
     number = TaskContext.get().partitionId() << 32
@@ -69,10 +77,10 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = T.flat(table.column("text"))
         st, en, word_off = T.words(data, off)
         names, count, place = X.distinct(T.word_hashes(data, st, en, lower=True))
-        order = np.argsort(-count, kind="stable")  # frequent words get short places
+        order = np.argsort(-count, kind="stable")  # frequent words get short places; equally frequent ones stay sorted
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        cols = [X.squeezed(X.pack(np.diff(word_off).astype(np.uint32))), names[order].tobytes(), X.squeezed(X.pack(rank[place]))]
+        cols = [X.squeezed(X.pack(np.diff(word_off).astype(np.uint32))), _differences(names[order]), X.squeezed(X.pack(rank[place]))]
         ids = pa.array([table.column("doc_id").to_pylist()], CHUNK_ARROW.field("ids").type)
         return pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([c], pa.binary()) for c in cols)], schema=CHUNK_ARROW)
 
@@ -93,7 +101,7 @@ class _Chunk:
     def __init__(self, table: pa.Table, name_bits: int, mod: int, rest: int, grams: bool = True):
         self.ids = table.column("ids")[0].as_py()
         n = len(self.ids)
-        names = np.frombuffer(table.column("names")[0].as_py(), np.uint64)
+        names = _summed_up(table.column("names")[0].as_py())
         words = X.unpack(X.loosened(table.column("lens")[0].as_py()), n, np.uint32).astype(np.int64)
         places = X.unpack(X.loosened(table.column("places")[0].as_py()), int(words.sum()), np.uint32)
         self.held = np.array([held_out(i, mod, rest) for i in self.ids], bool)
