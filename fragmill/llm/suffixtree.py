@@ -107,33 +107,38 @@ class _Chunk:
         self.held = np.array([held_out(i, mod, rest) for i in self.ids], bool)
         self.off = np.concatenate([[0], np.cumsum(words + 1)])
         names = np.append(names, END)
-        which = np.full(self.off[-1], len(names) - 1)
+        which = np.full(self.off[-1], len(names) - 1, np.int32)  # a chunk has fewer than 2**31 tokens, as a text has bytes
         last = np.zeros(len(which), bool)
         last[self.off[1:] - 1] = True
         which[~last] = places
         self.tokens = names[which]
-        self.doc = np.repeat(np.arange(n), words + 1)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), words + 1)
         self.train = ~self.held[self.doc]
-        place_in_doc = np.arange(len(self.tokens)) - self.off[self.doc]
-        self.place, self.low = place_in_doc, np.uint64(64 - name_bits)
+        self.place = np.arange(len(self.tokens), dtype=np.int32)
+        self.place -= self.off.astype(np.int32)[self.doc]
+        self.low = np.uint64(64 - name_bits)
         if not grams:
             return
         t = self.tokens
-        words, count, rank = X.distinct(names)
-        self.grams = [(np.arange(len(t)), words, count, rank[which])]
-        at = np.flatnonzero(place_in_doc >= 1)
-        self.grams.append((at, *X.distinct(self.short(T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(1)))))))
+        words, _, rank = X.distinct(names)
+        self.grams = [(np.arange(len(t), dtype=np.int32), words, rank.astype(np.int32)[which])]
+        at = np.flatnonzero(self.place >= 1).astype(np.int32)
+        self.grams.append(self.gram(at, T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(1)))))
 
     def short(self, names: np.ndarray) -> np.ndarray:
         return names >> self.low << self.low
 
+    def gram(self, at: np.ndarray, names: np.ndarray) -> tuple:
+        """The places where n-grams end, the distinct names, and for each place the place of its name."""
+        names, _, place = X.distinct(self.short(names))
+        return at, names, place.astype(np.int32)
+
     def grow(self, pairs: np.ndarray) -> None:
         """Adds the triples whose context may be kept, by the global counts of pairs at every token."""
         t = self.tokens
-        at = np.flatnonzero(self.place >= 2)
+        at = np.flatnonzero(self.place >= 2).astype(np.int32)
         at = at[pairs[at - 1] >= LEAST_COUNT]
-        name = T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(3) * T.mix(t[at - 2])))
-        self.grams.append((at, *X.distinct(self.short(name))))
+        self.grams.append(self.gram(at, T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(3) * T.mix(t[at - 2])))))
 
     def extended(self, active: np.ndarray, order: int):
         """Of the tokens whose context of order - 1 words is kept, those with a longer one; the distinct n-grams'
@@ -154,12 +159,12 @@ class _Chunk:
 
     def counts(self, order: int) -> np.ndarray:
         """Occurrences in the chunk's training texts of each distinct n-gram."""
-        at, keys, _, place = self.grams[order]
-        return np.bincount(place, self.train[at], len(keys)).astype(np.uint32)
+        at, keys, place = self.grams[order]
+        return np.bincount(place[self.train[at]], minlength=len(keys)).astype(np.uint32)
 
     def spread(self, order: int, totals: np.ndarray) -> np.ndarray:
         """Global counts at every token (0 where the n-gram would begin before the text)."""
-        at, _, _, place = self.grams[order]
+        at, _, place = self.grams[order]
         out = np.zeros(len(self.tokens))
         out[at] = totals[place]
         return out
@@ -171,15 +176,16 @@ class _Model:
     def __init__(self, chunk: _Chunk, n: list[np.ndarray], size: int, vocabulary: int):
         self.n = n
         self.root = (n[0] + PRIOR) / (size + PRIOR * (vocabulary + 1))
-        before = np.roll(np.arange(len(chunk.tokens)), 1)
-        pair = np.zeros(len(chunk.tokens))
+        word, pair = np.roll(n[0], 1), np.zeros(len(chunk.tokens))
+        word[chunk.off[:-1]] = 0
         grown = chunk.grams[2][0]
         pair[grown] = n[1][grown - 1]
-        self.context = [None, np.where(chunk.place >= 1, n[0][before], 0), pair]
+        self.context = [None, word, pair]
 
-    def next(self, order: int, parent: np.ndarray, strength, left_out: bool = False) -> np.ndarray:
+    def next(self, order: int, at: np.ndarray, parent: np.ndarray, strength, left_out: bool = False) -> np.ndarray:
+        """At the tokens ``at``; parent: the probabilities there."""
         less = 1.0 if left_out else 0.0
-        return (np.maximum(self.n[order] - less, 0) + strength * parent) / (np.maximum(self.context[order] - less, 0) + strength)
+        return (np.maximum(self.n[order][at] - less, 0) + strength * parent) / (np.maximum(self.context[order][at] - less, 0) + strength)
 
 
 def _summed(vals: list[np.ndarray], place: np.ndarray, n: int) -> list[np.ndarray]:
@@ -261,13 +267,14 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | No
     def load(table: pa.Table, grams: bool = True) -> _Chunk:
         return _Chunk(table, name_bits, mod, rest, grams)
 
+    def send_words(table: pa.Table) -> pa.Table:
+        c, chunk = load(table), table.column("chunk")[0].as_py()
+        return X.rows([r for o in (WORD, PAIR) for r in X.send(chunk, c.grams[o][1], [c.counts(o)], bits, o)], X.SENT_ARROW)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                table = pa.Table.from_batches([batch.slice(i, 1)])
-                c, chunk = load(table), table.column("chunk")[0].as_py()
-                for o in (WORD, PAIR):
-                    yield from X.rows(X.send(chunk, c.grams[o][1], [c.counts(o)], bits, o), X.SENT_ARROW).to_batches()
+            for i in range(batch.num_rows):  # a chunk's arrays go before the next chunk is read
+                yield from send_words(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
 
     def counted_at(c: _Chunk, replies: pa.Table, order: int) -> np.ndarray:
         got = X.answers(replies, c.grams[order][1], bits, order)
@@ -280,28 +287,36 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | No
     def model(c: _Chunk, replies: pa.Table) -> _Model:
         n = [counted_at(c, replies, o) for o in (WORD, PAIR)]
         c.grow(n[PAIR])
-        return _Model(c, [*n, counted_at(c, replies, TRIPLE)], *totals(replies))
+        n.append(counted_at(c, replies, TRIPLE))
+        c.grams[TRIPLE] = c.grams[TRIPLE][:1]  # only where they are is read again
+        return _Model(c, n, *totals(replies))
 
     def contexts(c: _Chunk, m: _Model, order: int):
         """Tokens whose context of this order may be kept, and the place of the context's name."""
-        at, _, _, place = c.grams[order - 1]
-        named = np.full(len(c.tokens) + 1, -1)
+        at, _, place = c.grams[order - 1]
+        named = np.full(len(c.tokens) + 1, -1, np.int32)
         named[at + 1] = place
         named = named[:-1]
         return np.flatnonzero(m.context[order] >= LEAST_COUNT), named
 
     def asked(c: _Chunk, m: _Model, order: int):
+        """The tokens, their contexts' distinct names, and for each token the place of its context's name."""
         at, named = contexts(c, m, order)
-        names, _, place = X.distinct(c.short(c.grams[order - 1][1][named[at]]))
-        return at, names, place
+        keys, named = c.grams[order - 1][1], named[at]
+        used, place = np.zeros(len(keys), bool), np.zeros(len(keys), np.int32)
+        used[named] = True
+        names, _, place[used] = X.distinct(c.short(keys[used]))
+        return at, names, place[named]
 
     def gains(c: _Chunk, m: _Model, order: int, parent: np.ndarray, chunk: int) -> list[tuple]:
         """Rows with the left-out sums of contexts for each strength; parent: left-out probabilities in the parent."""
         at, keys, place = asked(c, m, order)
         use, sums = c.train[at], []
+        at, place = at[use], place[use]
+        parent = parent[at]
         for s in STRENGTHS:
-            ratio = np.log(m.next(order, parent, s, True)[at] / parent[at])
-            sums.append(_signed(np.rint(np.bincount(place[use], ratio[use], len(keys)) / unit).astype(np.int64)))
+            ratio = np.log(m.next(order, at, parent, s, True) / parent)
+            sums.append(_signed(np.rint(np.bincount(place, ratio, len(keys)) / unit).astype(np.int64)))
         return X.send(chunk, keys, sums, bits, 3 + order)
 
     def send_triples(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -315,30 +330,29 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | No
     def send_gains(table: pa.Table, replies: pa.Table) -> pa.Table:
         c, chunk = load(table), table.column("chunk")[0].as_py()
         m = model(c, replies)
-        _, q, _ = walked(c, m, replies, 1)
+        q, _ = walked(c, m, replies, 1, left_out=True)
         return X.rows(gains(c, m, 2, q, chunk), X.SENT_ARROW)
 
-    def walked(c: _Chunk, m: _Model, replies: pa.Table, deepest: int):
-        """For contexts of up to deepest words (two at most): probabilities at every token, the same with the token
-        left out, and the choices."""
-        p, q, strengths, choices = m.root, m.root, np.array([0.0, *STRENGTHS]), []
+    def walked(c: _Chunk, m: _Model, replies: pa.Table, deepest: int, left_out: bool = False):
+        """For contexts of up to deepest words (two at most): probabilities at every token, with the token itself left
+        out or not, and the choices."""
+        p, strengths, choices = m.root.copy(), np.array([0.0, *STRENGTHS]), []
         for order in range(1, deepest + 1):
             at, keys, place = asked(c, m, order)
             got = X.answers(replies, keys, bits, 3 + order)
             choice = np.zeros(len(c.tokens), np.uint8)
             if got:
                 choice[at] = got[0][place]
-            strength = np.maximum(strengths[choice], 1e-9)
-            p = np.where(choice > 0, m.next(order, p, strength), p)
-            q = np.where(choice > 0, m.next(order, q, strength, True), q)
+            kept = np.flatnonzero(choice)
+            p[kept] = m.next(order, kept, p[kept], strengths[choice[kept]], left_out)
             choices.append(choice)
-        return p, q, choices
+        return p, choices
 
     def settle(table: pa.Table, replies: pa.Table) -> pa.Table:
         """A chunk's sums over tokens that no longer context can change, and the counts at the others."""
         c, chunk = load(table), table.column("chunk")[0].as_py()
         m = model(c, replies)
-        p, _, (one, two) = walked(c, m, replies, 2)
+        p, (one, two) = walked(c, m, replies, 2)
         n, active = len(c.ids), np.flatnonzero(two)
         still = two == 0
         sums = [np.bincount(c.doc, m.n[0] > 0, n), np.bincount(c.doc, np.log10(m.root), n), np.bincount(c.doc[still], np.log10(p[still]), n)]

@@ -1,7 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 
 from fragmill.llm import suffixtree
 from fragmill.llm.suffixtree import LEAST_COUNT, LEAST_GAIN, STRENGTHS, held_out, score_texts
@@ -100,3 +105,19 @@ def test_messages_without_loss_change_little(spark, monkeypatch):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     cut, exact = ({r.doc_id: (r.score, r.base_score) for r in score_texts(df, exact=e).collect()} for e in (False, True))
     assert all(abs(cut[i][0] - exact[i][0]) <= 0.01 * abs(exact[i][0]) + 1e-9 and abs(cut[i][1] - exact[i][1]) < 1e-6 for i in exact)
+
+
+def test_memory_of_a_chunk(monkeypatch):
+    """Arrays of a chunk's tokens are held in a worker beside the executor's heap."""
+    monkeypatch.setattr(suffixtree, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.6)) % 5000}" for _ in range(500)) for _ in range(300)]
+    batch = pa.record_batch({"doc_id": pa.array(range(300), pa.int64()), "text": pa.array(texts)})
+    (packed,) = suffixtree._chunked(iter([batch]))
+    tracemalloc.start()
+    chunk = suffixtree._Chunk(pa.Table.from_batches([packed]), 64, 10, 0)
+    chunk.grow(np.full(len(chunk.tokens), LEAST_COUNT))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(chunk.tokens) == 300 * 501
+    assert held < 60 * len(chunk.tokens)
