@@ -41,8 +41,8 @@ from fragmill.llm import _exchange as X
 from fragmill.llm import _text as T
 from fragmill.llm._tables import dropped, written
 
-CHUNK = "chunk long, ids array<long>, lens binary, names binary, places binary"
-CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("names", pa.binary()), ("places", pa.binary())])
+CHUNK = "chunk long, ids array<long>, crcs binary, lens binary, names binary, places binary"
+CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("crcs", pa.binary()), ("lens", pa.binary()), ("names", pa.binary()), ("places", pa.binary())])
 END = np.uint64(0xE0DE0DE0DE0DE0D)
 STRENGTHS = (0.5, 4.0, 32.0)
 LEAST_GAIN, LEAST_COUNT = 3.0, 2
@@ -55,8 +55,12 @@ SETTLED = -2  # the bucket of a row with what a chunk knows of its own tokens
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _crc(doc_id) -> int:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+
+
 def held_out(doc_id, mod: int = 10, rest: int = 0) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod == rest
+    return _crc(doc_id) % mod == rest
 
 
 def _differences(names: np.ndarray) -> bytes:
@@ -68,7 +72,7 @@ def _summed_up(raw: bytes) -> np.ndarray:
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of CHUNK: runs of whole texts of a partition, tokenised."""
+    """Rows of CHUNK: runs of whole texts of a partition, tokenised; place 0 is a text's end, word i has place i + 1."""
     number = TaskContext.get().partitionId() << 32
     rest: list[pa.RecordBatch] = []
     size = 0
@@ -79,9 +83,12 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, count, place = X.distinct(T.word_hashes(data, st, en, lower=True))
         order = np.argsort(-count, kind="stable")  # frequent words get short places; equally frequent ones stay sorted
         rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        cols = [X.squeezed(X.pack(np.diff(word_off).astype(np.uint32))), _differences(names[order]), X.squeezed(X.pack(rank[place]))]
-        ids = pa.array([table.column("doc_id").to_pylist()], CHUNK_ARROW.field("ids").type)
+        rank[order] = np.arange(1, len(order) + 1, dtype=np.uint32)
+        ids = table.column("doc_id").to_pylist()
+        crcs = np.fromiter(map(_crc, ids), np.uint32, len(ids)).tobytes()
+        places = np.insert(rank[place], word_off[1:], 0)
+        cols = [crcs, X.squeezed(X.pack(np.diff(word_off).astype(np.uint32))), _differences(names[order]), X.squeezed(X.pack(places))]
+        ids = pa.array([ids], CHUNK_ARROW.field("ids").type)
         return pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([c], pa.binary()) for c in cols)], schema=CHUNK_ARROW)
 
     for block in T.blocks(batches, "text", CHUNK_BYTES):
@@ -99,31 +106,28 @@ class _Chunk:
     """Tokens of a chunk's documents and the distinct n-grams that end at them."""
 
     def __init__(self, table: pa.Table, name_bits: int, mod: int, rest: int, grams: bool = True):
-        self.ids = table.column("ids")[0].as_py()
+        self.ids = table.column("ids")[0].values
         n = len(self.ids)
-        names = _summed_up(table.column("names")[0].as_py())
-        words = X.unpack(X.loosened(table.column("lens")[0].as_py()), n, np.uint32).astype(np.int64)
-        places = X.unpack(X.loosened(table.column("places")[0].as_py()), int(words.sum()), np.uint32)
-        self.held = np.array([held_out(i, mod, rest) for i in self.ids], bool)
-        self.off = np.concatenate([[0], np.cumsum(words + 1)])
-        names = np.append(names, END)
-        which = np.full(self.off[-1], len(names) - 1, np.int32)  # a chunk has fewer than 2**31 tokens, as a text has bytes
-        last = np.zeros(len(which), bool)
-        last[self.off[1:] - 1] = True
-        which[~last] = places
+        lens = X.unpack(X.loosened(table.column("lens")[0].as_py()), n, np.uint32).astype(np.int64) + 1
+        self.held = np.frombuffer(table.column("crcs")[0].as_py(), np.uint32) % mod == rest
+        self.off = np.concatenate([[0], np.cumsum(lens)])
+        # a chunk has fewer than 2**31 tokens, as a text has bytes
+        which = X.unpack(X.loosened(table.column("places")[0].as_py()), int(self.off[-1]), np.uint32).view(np.int32)
+        names = np.append(END, _summed_up(table.column("names")[0].as_py()))
         self.tokens = names[which]
-        self.doc = np.repeat(np.arange(n, dtype=np.int32), words + 1)
-        self.train = ~self.held[self.doc]
-        self.place = np.arange(len(self.tokens), dtype=np.int32)
-        self.place -= self.off.astype(np.int32)[self.doc]
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), lens)
+        self.train = np.repeat(~self.held, lens)
+        self.place = np.arange(len(which), dtype=np.int32)
+        self.place -= np.repeat(self.off[:-1].astype(np.int32), lens)
         self.low = np.uint64(64 - name_bits)
         if not grams:
             return
-        t = self.tokens
+        self.names, self.which = names, which
         words, _, rank = X.distinct(names)
-        self.grams = [(np.arange(len(t), dtype=np.int32), words, rank.astype(np.int32)[which])]
+        self.grams = [(np.arange(len(which), dtype=np.int32), words, rank.astype(np.int32)[which])]
         at = np.flatnonzero(self.place >= 1).astype(np.int32)
-        self.grams.append(self.gram(at, T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(1)))))
+        before = np.uint64(0x9E3779B97F4A7C15) * T.mix(names + np.uint64(1))
+        self.grams.append(self.gram(at, T.mix(self.tokens[at] + before[which[at - 1]])))
 
     def short(self, names: np.ndarray) -> np.ndarray:
         return names >> self.low << self.low
@@ -135,10 +139,10 @@ class _Chunk:
 
     def grow(self, pairs: np.ndarray) -> None:
         """Adds the triples whose context may be kept, by the global counts of pairs at every token."""
-        t = self.tokens
+        t, first = self.tokens, np.uint64(3) * T.mix(self.names)
         at = np.flatnonzero(self.place >= 2).astype(np.int32)
         at = at[pairs[at - 1] >= LEAST_COUNT]
-        self.grams.append(self.gram(at, T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + np.uint64(3) * T.mix(t[at - 2])))))
+        self.grams.append(self.gram(at, T.mix(t[at] + np.uint64(0x9E3779B97F4A7C15) * T.mix(t[at - 1] + first[self.which[at - 2]]))))
 
     def extended(self, active: np.ndarray, order: int):
         """Of the tokens whose context of order - 1 words is kept, those with a longer one; the distinct n-grams'
@@ -165,6 +169,8 @@ class _Chunk:
     def spread(self, order: int, totals: np.ndarray) -> np.ndarray:
         """Global counts at every token (0 where the n-gram would begin before the text)."""
         at, _, place = self.grams[order]
+        if order == WORD:
+            return totals[place].astype(float)
         out = np.zeros(len(self.tokens))
         out[at] = totals[place]
         return out
@@ -184,8 +190,13 @@ class _Model:
 
     def next(self, order: int, at: np.ndarray, parent: np.ndarray, strength, left_out: bool = False) -> np.ndarray:
         """At the tokens ``at``; parent: the probabilities there."""
-        less = 1.0 if left_out else 0.0
-        return (np.maximum(self.n[order][at] - less, 0) + strength * parent) / (np.maximum(self.context[order][at] - less, 0) + strength)
+        held, total = self.counted(order, at, left_out)
+        return (held + strength * parent) / (total + strength)
+
+    def counted(self, order: int, at: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the n-grams at the tokens ``at`` and of their contexts."""
+        held, total = self.n[order][at], self.context[order][at]
+        return (np.maximum(held - 1, 0), np.maximum(total - 1, 0)) if left_out else (held, total)
 
 
 def _summed(vals: list[np.ndarray], place: np.ndarray, n: int) -> list[np.ndarray]:
@@ -305,8 +316,10 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | No
         keys, named = c.grams[order - 1][1], named[at]
         used, place = np.zeros(len(keys), bool), np.zeros(len(keys), np.int32)
         used[named] = True
-        names, _, place[used] = X.distinct(c.short(keys[used]))
-        return at, names, place[named]
+        names = c.short(keys[used])  # sorted, as the keys are
+        new = np.diff(names, prepend=~names[:1]) != 0
+        place[used] = np.cumsum(new) - 1
+        return at, names[new], place[named]
 
     def gains(c: _Chunk, m: _Model, order: int, parent: np.ndarray, chunk: int) -> list[tuple]:
         """Rows with the left-out sums of contexts for each strength; parent: left-out probabilities in the parent."""
@@ -314,8 +327,9 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | No
         use, sums = c.train[at], []
         at, place = at[use], place[use]
         parent = parent[at]
+        held, total = m.counted(order, at, left_out=True)
         for s in STRENGTHS:
-            ratio = np.log(m.next(order, at, parent, s, True) / parent)
+            ratio = np.log((held + s * parent) / (total + s) / parent)
             sums.append(_signed(np.rint(np.bincount(place, ratio, len(keys)) / unit).astype(np.int64)))
         return X.send(chunk, keys, sums, bits, 3 + order)
 
@@ -360,37 +374,40 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | No
         raw = [np.array([*totals(replies), len(active)], np.int64).tobytes(), *(x.tobytes() for x in sums), X.pack(np.diff(active, prepend=0).astype(np.uint32)), *(X.pack(x[active].astype(np.uint32)) for x in held)]
         return X.rows([(chunk, SETTLED, b"".join(len(r).to_bytes(4, "little") + r for r in raw))], X.REPLY_ARROW)
 
-    def settled(c: _Chunk, replies: pa.Table, deepest: int):
+    def settled(c: _Chunk, replies: pa.Table, deepest: int, left_out: bool = False):
         """Of a chunk: its totals and sums, and by the kept contexts of up to deepest words the probabilities at the
-        tokens that were left open, the same with the token left out, and those whose context of deepest words is
-        kept."""
+        tokens that were left open, with the token itself left out or not, and those whose context of deepest words
+        is kept."""
         row = replies.column("bucket").to_pylist().index(SETTLED)
         head, *raw = X.parts(X.loosened(replies.column("reply")[row].as_py()))
         size, vocabulary, n = np.frombuffer(head, np.int64).tolist()
         at = np.cumsum(X.unpack(raw[3], n, np.uint32), dtype=np.int64)
-        n0, n1, n2, c1, c2, one, two = (X.unpack(x, n, np.uint32).astype(np.float64) for x in raw[4:])
-        strengths = np.array([0.0, *STRENGTHS])
-        p, q = np.zeros(len(c.tokens)), np.zeros(len(c.tokens))
-        p[at] = q[at] = (n0 + PRIOR) / (size + PRIOR * (vocabulary + 1))
+        n0, n1, n2, c1, c2, one, two = (X.unpack(x, n, np.uint32) for x in raw[4:])
+        strengths, less = np.array([0.0, *STRENGTHS]), 1.0 if left_out else 0.0
+
+        def mixed(held: np.ndarray, total: np.ndarray, s: np.ndarray, parent: np.ndarray) -> np.ndarray:
+            return (np.maximum(held - less, 0) + s * parent) / (np.maximum(total - less, 0) + s)
+
+        open_p = (n0 + PRIOR) / (size + PRIOR * (vocabulary + 1))
         for held, total, choice in ((n1, c1, one), (n2, c2, two)):
-            kept, s = choice > 0, np.maximum(strengths[choice.astype(int)], 1e-9)
-            p[at] = np.where(kept, (held + s * p[at]) / (total + s), p[at])
-            q[at] = np.where(kept, (np.maximum(held - 1, 0) + s * q[at]) / (np.maximum(total - 1, 0) + s), q[at])
+            kept = np.flatnonzero(choice)
+            open_p[kept] = mixed(held[kept], total[kept], strengths[choice[kept]], open_p[kept])
+        p = np.zeros(len(c.tokens))
+        p[at] = open_p
         active = at
         for order in range(3, deepest + 1):
             tried, keys, _, place = c.extended(active, order)
             got = X.answers(replies, keys, bits, 3 + order)
             own, total, held = (x[place] for x in got) if got else np.zeros((3, 0))
             kept = own > 0
-            active, total, held, s = tried[kept], total[kept], held[kept], strengths[own[kept].astype(int)]
-            p[active] = (held + s * p[active]) / (total + s)
-            q[active] = (np.maximum(held - 1, 0) + s * q[active]) / (np.maximum(total - 1, 0) + s)
-        return size, [np.frombuffer(x) for x in raw[:3]], at, p, q, active
+            active = tried[kept]
+            p[active] = mixed(held[kept], total[kept], strengths[own[kept].astype(int)], p[active])
+        return size, [np.frombuffer(x) for x in raw[:3]], at, p, active
 
     def send_level(order: int):
         def run(table: pa.Table, replies: pa.Table) -> pa.Table:
             c, chunk = load(table, grams=False), table.column("chunk")[0].as_py()
-            *_, q, active = settled(c, replies, order - 1)
+            *_, q, active = settled(c, replies, order - 1, left_out=True)
             at, keys, following, place = c.extended(active, order)
             parent = np.zeros(len(keys), precision)
             parent[place] = q[at]
@@ -401,11 +418,11 @@ def score_texts(docs: DataFrame, mod: int = 10, rest: int = 0, longest: int | No
 
     def finish(table: pa.Table, replies: pa.Table, deepest: int) -> pa.Table:
         c = load(table, grams=False)
-        size, (known, base, fixed), at, p, _, _ = settled(c, replies, deepest)
+        size, (known, base, fixed), at, p, _ = settled(c, replies, deepest)
         n = len(c.ids)
         return pa.table(
             {
-                "doc_id": pa.array(c.ids, pa.int64()),
+                "doc_id": c.ids,
                 "held_out": pa.array(c.held),
                 "n_tokens": pa.array(np.diff(c.off), pa.int64()),
                 "n_known": pa.array(known.astype(np.int64)),

@@ -1,7 +1,12 @@
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+
+from fragmill.llm import _exchange as X
 from fragmill.llm import suffixtree
 from fragmill.llm.suffixtree import LEAST_COUNT, LEAST_GAIN, held_out, score_texts
 
@@ -80,3 +85,50 @@ def test_rare_words_end_contexts(spark):
     assert ("u", "x") in kept and ("v", "x") in kept
     want, _ = brute(pairs)
     assert {i: round(s, 4) for i, (s, _) in scores.items()} == want
+
+
+def test_ids_are_hashed_once(monkeypatch):
+    """The steps after the first read which texts are held out from the chunk."""
+    ids = [3, None, 10, 3, 77]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": ["A b", None, "b a  b", "", "c"]})
+    monkeypatch.setattr(suffixtree, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    (packed,) = suffixtree._chunked(iter([batch]))
+    want = {mod: [held_out(i, mod, 1) for i in ids] for mod in (2, 3)}
+
+    def none(*_):
+        raise AssertionError("hashed again")
+
+    monkeypatch.setattr(suffixtree.zlib, "crc32", none)
+    for mod, held in want.items():
+        chunk = suffixtree._Chunk(pa.Table.from_batches([packed]), 40, mod, 1)
+        assert chunk.held.tolist() == held and chunk.ids.to_pylist() == ids
+        assert chunk.train.tolist() == [not held[d] for d in (0, 0, 0, 1, 2, 2, 2, 2, 3, 4, 4)]
+        assert chunk.place.tolist() == [0, 1, 2, 0, 0, 1, 2, 3, 0, 0, 1]
+        assert [i for i, t in enumerate(chunk.tokens) if t == suffixtree.END] == [2, 3, 7, 8, 10]
+        assert chunk.tokens[0] == chunk.tokens[5] and chunk.tokens[1] == chunk.tokens[4] == chunk.tokens[6] != chunk.tokens[0]
+
+
+def test_distinct_names_short_and_alike():
+    rnd = np.random.default_rng(1)
+    for n in (1, 2, 3, 1000, 70000):
+        few = rnd.integers(0, 2**63, max(1, n // 3), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for names in (few, few >> np.uint64(24) << np.uint64(24), few & np.uint64(0xFFFF), np.zeros(1, np.uint64)):
+            keys = names[rnd.integers(0, len(names), n)]
+            was = keys.copy()
+            got, want = X.distinct(keys), np.unique(keys, return_counts=True, return_inverse=True)
+            assert (keys == was).all() and (got[0] == want[0]).all() and (got[1] == want[2]).all() and (got[2] == want[1]).all()
+            assert (keys[X.ranks(keys)] == np.sort(keys)).all()
+
+
+def test_planes_of_all_widths():
+    rnd = np.random.default_rng(2)
+    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
+        for n in (0, 1, 5, 1000):
+            full = rnd.integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True)
+            for a in (full, full & kind(0x0F), full << kind(np.iinfo(kind).bits // 2), np.zeros(n, kind), full[::2]):
+                raw = X.pack(a)
+                want = a.copy().view(np.uint8).reshape(-1, a.itemsize)
+                used = [i for i in range(a.itemsize) if want[:, i].any()]
+                assert raw == bytes([sum(1 << i for i in used)]) + b"".join(want[:, i].tobytes() for i in used)
+                back = X.unpack(raw, len(a), kind)
+                assert back.dtype == kind and (back == a).all() and back.flags.writeable
